@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import new_path, stash, table
 
@@ -182,7 +183,7 @@ def _reader(base: str, schema, names: list[str], types: list, work):
 
 def fill_metadata(manifest: DataFrame, base: str) -> DataFrame:
     """Add width, height and bit_depth by reading each member's first 33 bytes only."""
-    schema = manifest.schema.add("width", "long").add("height", "long").add("bit_depth", "integer")
+    schema = T.StructType(list(manifest.schema.fields)).add("width", "long").add("height", "long").add("bit_depth", "integer")
     work = lambda f, offset, length: png_header(f.read_at(HEADER_BYTES, offset))
     return manifest.mapInArrow(_reader(qualified(manifest.sparkSession, base), schema, ["width", "height", "bit_depth"], [pa.int64(), pa.int64(), pa.int32()], work), schema)
 
@@ -197,7 +198,7 @@ def read_back(manifest: DataFrame, base: str) -> DataFrame:
     """Add what the stored bytes say: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = manifest.schema
+    schema = T.StructType(list(manifest.schema.fields))
     for name, kind in zip(names, ("long", "string", "long", "long", "string", "string")):
         schema = schema.add(name, kind)
 
