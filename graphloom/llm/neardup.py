@@ -6,12 +6,23 @@ optimal densification). Bands of ``ROWS`` bins make buckets. A bucket emits a
 star, the edges from one centre to its members, so pairs grow with the members
 and not with their square. Every edge is confirmed on the full shingle sets.
 
-A star alone would lose a link between two members that both fail against the
-centre. So stars repeat: a centre that was held against all members leaves its
-bucket, and buckets whose members are not yet all in one component elect new
-centres, twice as many each round, until every bucket is spent or connected.
+A star alone would lose a link between two members of which one fails against
+the centre c. Such a pair (x, y) is found through what c lacks. All they share
+lies in c or outside of it, so
+
+    |x & y| <= min(|x & c|, |y & c|) + |(x - c) & (y - c)|,
+
+and a link asks for |x & y| >= 3/7 (|x| + |y|). Either the first term alone is
+large enough, which a comparison of four numbers tells (those pairs are few and
+are confirmed), or both hold shingles that c lacks: t of them at least, hence
+one among the |x - c| - t + 1 smallest of x's (prefix filtering). Members are
+dealt into finer buckets by those, and the loop goes on there without c, until
+every bucket's members are in one component. No pair is dropped by a cap. The
+centre is the member with the most bucket mates: a copied original meets all
+its copies, so what the others add to it is small.
+
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32,
-5e-6; there are no caps.
+5e-6.
 
 A document is a doc_id; documents with equal sets are one node, named by their
 smallest id. Rows without an id, and rows without words, are linked with
@@ -191,6 +202,44 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).union(roots.select("node", F.col("node").alias("label")))
 
 
+def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """What members (key, hub, node, n, deg) add to their centres.
+
+    Rows with a bucket: a finer bucket (key and a shingle that the centre lacks) of the node. Rows without: the
+    node's overlap with the centre, where that alone could make a link.
+    """
+    u = sets.select(F.col("node").alias("hub"), F.col("h").alias("hu"))
+    joined = stars.join(u, "hub").join(sets, "node").select("key", "node", "n", "deg", "hu", "h")
+
+    def run(batches):
+        names = ["bucket", "key", "node", "n", "deg", "shared"]
+        for batch in batches:
+            key, node, n, deg = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            for start in range(0, batch.num_rows, 64):
+                cols: list[list] = [[], [], [], [], [], []]
+                none: list = []
+                for i in range(start, min(start + 64, batch.num_rows)):
+                    c, x = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
+                    at = np.minimum(np.searchsorted(c, x), len(c) - 1)
+                    added = x[c[at] != x]
+                    shared = len(x) - len(added)
+                    # A partner has at least SIMILAR / PER of the size, so this many added shingles are shared at least.
+                    t = max(1, -(-(SIMILAR * len(x) - PER * shared) // PER))
+                    prefix = added[: max(0, len(added) - t + 1)]
+                    with np.errstate(over="ignore"):
+                        finer = mix(prefix ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
+                    alone = int(PER * shared >= SIMILAR * len(x))
+                    m = len(finer) + alone
+                    cols[0].append(np.append(finer, np.zeros(alone, np.int64)))
+                    none.append(np.arange(m) >= len(finer))
+                    for k, v in enumerate((key[i], node[i], n[i], deg[i], shared), 1):
+                        cols[k].append(np.full(m, v, np.int64))
+                rows = [np.concatenate(c) for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], mask=np.concatenate(none)), *map(pa.array, rows[1:])], names)
+
+    return joined.mapInArrow(run, "bucket long, key long, node long, n long, deg long, shared long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     rows = stash(sketch(docs, id_col, text_col), "sketch")
@@ -199,37 +248,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Every bucket list is a function of the set, so any row of the class serves: the one that names it.
     named = known.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
     members = named.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
-    crowded = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    buckets = stash(members.join(crowded, "bucket").select("bucket", "node", "n", F.col("lo").alias("label")), "buckets")
+    crowded = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    buckets = stash(members.join(crowded, "bucket").select("bucket", "node", "n", "size"), "buckets")
+    mates = buckets.groupBy("node").agg(F.sum("size").alias("deg"))
+    buckets = stash(buckets.join(mates, "node").select("bucket", "node", "n", "deg"), "buckets")
     sets = stash(sets_of(docs, buckets.select("node").distinct(), id_col, text_col).dropDuplicates(["node"]), "sets")
-
-    # Round 0: the smallest node is the centre of every bucket.
-    centres = buckets.where("node = label").select("bucket", "node", "n")
-    labels, links, checked, turn = None, [], [], 0
+    # A similarity of SIMILAR / PER is an intersection of SIMILAR / (PER + SIMILAR) of both sizes.
+    labels, links, checked, extra, first = None, [], [], None, True
     while True:
-        centre = centres.select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), *([] if labels is None else ["label_u"]))
-        near = (F.least("nu", "n") * PER >= F.greatest("nu", "n") * SIMILAR) & (F.col("u") != F.col("node"))
-        if labels is not None:
-            near &= F.col("label_u") != F.col("label")
-        pairs = buckets.join(centre, "bucket").where(near).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+        hubs = buckets.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("deg", -F.col("node"))).alias("c"))
+        stars = buckets.join(hubs.select("bucket", F.col("c.node").alias("hub"), F.col("c.n").alias("nh")), "bucket").where("node <> hub")
+        near = stars.where(F.least("nh", "n") * PER >= F.greatest("nh", "n") * SIMILAR)
+        pairs = near.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
+        pairs = (pairs if extra is None else pairs.union(extra)).distinct()
         for old in checked:
             pairs = pairs.join(old, ["u", "v"], "left_anti")
         pairs = stash(pairs, "pairs")
         checked.append(pairs)
-        links.append(stash(confirm(pairs, sets), "links"))
-        labels = components(functools.reduce(DataFrame.union, links))
-        # What is left: buckets whose members, without their spent centres, are in several components.
-        rest = buckets.select("bucket", "node", "n").join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti").join(labels, "node", "left")
-        rest = rest.withColumn("label", F.coalesce("label", "node"))
+        found = stash(confirm(pairs, sets), "links")
+        if labels is None or not found.isEmpty():
+            links.append(found)
+            labels = components(functools.reduce(DataFrame.union, links))
+        # What is left: buckets whose members, without their centre, are in several components.
+        rest = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        buckets = stash(rest.join(mixed, "bucket").select("bucket", "node", "n", "label"), "buckets")
-        if buckets.isEmpty():
+        # Buckets with one centre are one star at first; later ones only split, so the loop ends.
+        key = F.col("hub") if first else F.col("bucket")
+        open_stars = rest.join(mixed, "bucket", "left_semi").select(key.alias("key"), "hub", "node", "n", "deg").distinct()
+        parts = stash(differences(open_stars, sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        finer = parts.where("bucket is not null").select("bucket", "node", "n", "deg", "label")
+        shared = finer.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        buckets = stash(finer.join(shared, "bucket", "left_semi").select("bucket", "node", "n", "deg").distinct(), "buckets")
+        x = parts.where("bucket is null").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("label").alias("lu"))
+        y = x.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("su").alias("sv"), F.col("lu").alias("lv"))
+        inside = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & ((PER + SIMILAR) * F.least("su", "sv") >= SIMILAR * (F.col("nu") + F.col("nv")))
+        extra = stash(x.join(y, "key").where(inside).select("u", "v").distinct(), "pairs")
+        first = False
+        if buckets.isEmpty() and extra.isEmpty():
             break
-        turn += 1
-        draw = F.xxhash64("node", F.lit(turn))
-        seat = F.pmod(F.xxhash64("bucket", "node", F.lit(turn)), F.lit(1 << min(turn - 1, 40)))
-        elected = buckets.groupBy("bucket", seat.alias("seat")).agg(F.min_by(F.struct("node", "n", "label"), draw).alias("c"))
-        centres = stash(elected.select("bucket", "c.node", "c.n", F.col("c.label").alias("label_u")), "centres")
 
     named = classes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component_id"))
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
