@@ -19,7 +19,11 @@ one among the |x - c| - t + 1 smallest of x's (prefix filtering). Members are
 dealt into finer buckets by those, and the loop goes on there without c, until
 every bucket's members are in one component. No pair is dropped by a cap. The
 centre is the member with the most bucket mates: a copied original meets all
-its copies, so what the others add to it is small.
+its copies, so what the others add to it is small. Buckets with the same
+members count once. Against a centre of n > ``SAMPLE`` shingles only those with
+hashes below SAMPLE / n of the range make finer buckets, and the comparison of
+numbers allows for ``SLACK`` of n: a pair that shares more of what c lacks is
+missed with probability exp(-SAMPLE * SLACK), 1e-9.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32,
 5e-6.
@@ -46,6 +50,7 @@ WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
+SAMPLE, SLACK = 1024, 0.02
 CACHE_WORDS = 600_000
 
 _RNG = np.random.default_rng(20240229)
@@ -225,14 +230,16 @@ def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
                     shared = len(x) - len(added)
                     # A partner has at least SIMILAR / PER of the size, so this many added shingles are shared at least.
                     t = max(1, -(-(SIMILAR * len(x) - PER * shared) // PER))
-                    prefix = added[: max(0, len(added) - t + 1)]
+                    prefix, slack = added[: max(0, len(added) - t + 1)], 0
+                    if len(c) > SAMPLE:
+                        prefix, slack = prefix[prefix < np.uint64((SAMPLE << 64) // len(c))], int(SLACK * len(c)) + 1
                     with np.errstate(over="ignore"):
                         finer = mix(prefix ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
-                    alone = int(PER * shared >= SIMILAR * len(x))
+                    alone = int(PER * (shared + slack) >= SIMILAR * len(x))
                     m = len(finer) + alone
                     cols[0].append(np.append(finer, np.zeros(alone, np.int64)))
                     none.append(np.arange(m) >= len(finer))
-                    for k, v in enumerate((key[i], node[i], n[i], deg[i], shared), 1):
+                    for k, v in enumerate((key[i], node[i], n[i], deg[i], shared + slack), 1):
                         cols[k].append(np.full(m, v, np.int64))
                 rows = [np.concatenate(c) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], mask=np.concatenate(none)), *map(pa.array, rows[1:])], names)
@@ -240,6 +247,14 @@ def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "bucket long, key long, node long, n long, deg long, shared long")
 
 
+def mixed_buckets(members: DataFrame, by: str) -> DataFrame:
+    """The buckets of (bucket, node, ...) with several values of ``by``; of those with the same members one."""
+    found = members.groupBy("bucket").agg(
+        F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+    )
+    return found.where("lo < hi").groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     rows = stash(sketch(docs, id_col, text_col), "sketch")
@@ -248,8 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Every bucket list is a function of the set, so any row of the class serves: the one that names it.
     named = known.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
     members = named.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
-    crowded = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    buckets = stash(members.join(crowded, "bucket").select("bucket", "node", "n", "size"), "buckets")
+    buckets = stash(members.join(mixed_buckets(members, "node"), "bucket").select("bucket", "node", "n", "size"), "buckets")
     mates = buckets.groupBy("node").agg(F.sum("size").alias("deg"))
     buckets = stash(buckets.join(mates, "node").select("bucket", "node", "n", "deg"), "buckets")
     sets = stash(sets_of(docs, buckets.select("node").distinct(), id_col, text_col).dropDuplicates(["node"]), "sets")
@@ -277,8 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_stars = rest.join(mixed, "bucket", "left_semi").select(key.alias("key"), "hub", "node", "n", "deg").distinct()
         parts = stash(differences(open_stars, sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         finer = parts.where("bucket is not null").select("bucket", "node", "n", "deg", "label")
-        shared = finer.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        buckets = stash(finer.join(shared, "bucket", "left_semi").select("bucket", "node", "n", "deg").distinct(), "buckets")
+        buckets = stash(finer.join(mixed_buckets(finer, "label"), "bucket", "left_semi").select("bucket", "node", "n", "deg"), "buckets")
         x = parts.where("bucket is null").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("label").alias("lu"))
         y = x.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("su").alias("sv"), F.col("lu").alias("lv"))
         inside = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & ((PER + SIMILAR) * F.least("su", "sv") >= SIMILAR * (F.col("nu") + F.col("nv")))
