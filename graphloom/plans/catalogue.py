@@ -207,7 +207,7 @@ def taint_closure(spark, sf_dir):
     return reach.taint_closure(B.events_graph(spark, sf_dir))
 
 
-@query("topo_level", "+l AS (SELECT id, 0 AS level FROM sn WHERE id NOT IN (SELECT dst FROM se) UNION SELECT e.dst, l.level + 1 FROM l JOIN se e ON e.src = l.id) SELECT id, max(level) AS level FROM l WHERE id IN (SELECT id FROM sn) GROUP BY id", "star")
+@query("topo_level", "+l AS (SELECT id, 0 AS level FROM (SELECT id FROM sn UNION SELECT src FROM se) WHERE id NOT IN (SELECT dst FROM se) UNION SELECT e.dst, l.level + 1 FROM l JOIN se e ON e.src = l.id) SELECT id, max(level) AS level FROM l WHERE id IN (SELECT id FROM sn) GROUP BY id", "star")
 def topo_level(spark, sf_dir):
     nodes, edges = B.star_edges(spark, sf_dir)
     regions = edges.where("src like 'r%'").select("file", F.col("src").alias("id")).distinct()
@@ -485,14 +485,14 @@ def dangling_edges(spark, sf_dir):
 
 
 @query("weak_controls", """ SELECT file, id, c.* FROM nodes, LATERAL (SELECT * FROM (VALUES ('always_true', 'CWE-561', 'critical', code_snapshot = 'if (true)'),
-('loose_equality', 'CWE-597', 'high', code_snapshot LIKE 'if (role ==%'), ('missing_anchor', 'CWE-625', 'medium', code_snapshot LIKE 'if (role ==%')) v("check", cwe, severity, hit) WHERE hit) c WHERE node_type = 'CONTROL'""".replace("c.*", 'c."check", c.cwe, c.severity'), "events")
+('loose_equality', 'CWE-597', 'high', code_snapshot LIKE 'if (role ==%'), ('missing_anchor', 'CWE-625', 'medium', code_snapshot LIKE 'if (role ==%')) v(weakness, cwe, severity, hit) WHERE hit) c WHERE node_type = 'CONTROL'""".replace("c.*", "c.weakness, c.cwe, c.severity"), "events")
 def weak_controls(spark, sf_dir):
     return control.weak_controls(B.events_graph(spark, sf_dir).nodes.where("node_type = 'CONTROL'"))
 
 
 @query("control_threat_checks", None)
 def control_threat_checks(spark, sf_dir):
-    return control.ineffective_controls(B.events_graph(spark, sf_dir)).groupBy("check", "cwe").agg(F.count("*").alias("n"), F.countDistinct("control").alias("n_controls"))
+    return control.ineffective_controls(B.events_graph(spark, sf_dir)).groupBy("weakness", "cwe").agg(F.count("*").alias("n"), F.countDistinct("control").alias("n_controls"))
 
 
 # --- text fronts ----------------------------------------------------------------------------------
@@ -529,7 +529,7 @@ def css_rules(spark, sf_dir):
     return css_graph.nodes(sheets).groupBy("node_subtype", "label").agg(F.count("*").alias("n"))
 
 
-ORACLE_SQL["css_rules"] = r"SELECT 'rule' AS node_subtype, trim(s) AS label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)), '([^{}]+)\{', 1)) AS s FROM pages) GROUP BY ALL"
+ORACLE_SQL["css_rules"] = r"SELECT 'rule' AS node_subtype, trim(s) AS label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(c, '([^{}]+)\{', 1)) AS s FROM (SELECT unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)) AS c FROM pages)) GROUP BY ALL"
 
 
 @query("url_language_gate", r"""SELECT CASE lower(regexp_extract(url, '(\.[A-Za-z0-9]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.php' THEN 'php' ELSE 'javascript' END AS language, count(*) AS n FROM pages GROUP BY 1""")
@@ -559,9 +559,9 @@ def dependency_edges(spark, sf_dir):
 
 
 @query("reexport_resolve", """WITH RECURSIVE h AS (SELECT 'r' || p_partkey AS via, 'r' || (p_partkey * 2 + 1) AS next FROM part WHERE p_partkey * 2 + 1 <= (SELECT max(p_partkey) FROM part)),
-i AS (SELECT 'c' || s_suppkey AS from_file, 'x' AS name, 'r' || s_suppkey AS at FROM supplier),
-w AS (SELECT from_file, name, at, 0 AS d FROM i UNION ALL SELECT w.from_file, w.name, h.next, d + 1 FROM w JOIN h ON h.via = w.at)
-SELECT from_file, name, arg_max(at, d) AS origin FROM w GROUP BY ALL""")
+i AS (SELECT 'c' || s_suppkey AS from_file, 'x' AS name, 'r' || s_suppkey AS cur FROM supplier),
+w AS (SELECT from_file, name, cur, 0 AS d FROM i UNION ALL SELECT w.from_file, w.name, h.next, d + 1 FROM w JOIN h ON h.via = w.cur)
+SELECT from_file, name, arg_max(cur, d) AS origin FROM w GROUP BY ALL""")
 def reexport_resolve(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     top = parts.agg(F.max("p_partkey").alias("top"))
