@@ -4,15 +4,18 @@ A token's spelling probability is the sum over all its segmentations into the
 pieces of an existing vocabulary, by a forward recursion in log space. The
 vocabulary's scores give the pieces' first weights; one expectation step over
 every distinct training word (forward-backward) re-estimates them. In the
-lattice of a text each token has two more arcs: the token as a whole, by its
-training count, and the token as one that this text has used before. Those
-three make one distribution, so the sum over paths is the text's marginal
-probability.
+lattice of a text each token has more arcs: the token as a whole, by its
+training counts, and the token as one that this text has used before. The text
+as a whole first takes one of a few kinds k (found from which frequent words
+stand in the same texts; on mixed corpora they come out as the languages), so
+its probability is the sum over kinds and segmentations:
 
-    P(token at t) = (1 - m) * (known * c / N + (1 - known) * spelling) + m * used / t,   m = CACHE * t / (t + CACHE_AFTER)
+    P(text) = sum_k P(k) prod_t P_k(token_t)
+    P_k(token_t) = (1 - m) (g_k c_k / N_k + (1 - g_k) (SHARE c / N + (1 - SHARE) spelling_k)) + m used / t
+    m = CACHE t / (t + CACHE_AFTER)
 
-``known`` is the Good-Turing share of tokens seen more than once, t the number
-of tokens before this one, ``used`` how many of those equal it.
+g_k is the Good-Turing share of the kind's tokens seen more than once, t the
+number of tokens before this one, ``used`` how many of those equal it.
 
 Counts cover all training rows. A head of at most ``HEAD`` frequent words is
 broadcast (its size is bounded by a histogram of the counts); the rest, rare by
@@ -37,7 +40,10 @@ from graphloom.llm.common import stash, table
 from graphloom.llm.quality import remainder
 
 FOLDS, HELD_OUT = 5, 1
-HEAD, FLUSH, BATCH, LONG = 200_000, 400_000, 20_000, 48
+HEAD, FLUSH, BATCH, LONG = 100_000, 400_000, 20_000, 48
+#: Frequent words that tell kinds of text, the most kinds, and how rarely two kinds' words may meet.
+TELLING, KINDS, APART = 64, 6, 0.3
+SHARE = 0.3
 CACHE, CACHE_AFTER = 0.45, 150.0
 MARK = "▁".encode()
 ZIPF_SHIFT, SMOOTH = 10.0, 0.1
@@ -66,6 +72,12 @@ class Pieces:
                     at, n = (at + np.uint64(1)) & self.mask, n + 1
                 self.keys[at], self.slots[at], self.probes = h, i, max(self.probes, n)
 
+    def weighted(self, logp: np.ndarray) -> Pieces:
+        """The same pieces under other weights; the table is shared."""
+        other = object.__new__(Pieces)
+        other.__dict__.update(self.__dict__, logp=logp)
+        return other
+
     def _slot(self, h):
         return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)
 
@@ -200,68 +212,148 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over the binary column ``t``; counted within each task first."""
+class Kinds:
+    """A few kinds of text, each a distribution over the telling words."""
+
+    def __init__(self, words: list[bytes], logp: np.ndarray):
+        self.words, self.logp = {w: i for i, w in enumerate(words)}, logp
+
+    def of(self, text_tokens: list[bytes]) -> int:
+        if len(self.logp) == 1:
+            return 0
+        found = [i for w in text_tokens if (i := self.words.get(w)) is not None]
+        return int(np.argmax(self.logp @ np.bincount(found, minlength=len(self.words)))) if found else 0
+
+
+def _partial(texts: DataFrame, schema: str, work) -> DataFrame:
+    """One Arrow batch a task, from ``work(texts of the task)``."""
 
     def run(batches):
-        def out(counter):
-            return pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["word", "c"])
+        yield work(t for batch in batches for t in batch.column(0).to_pylist())
 
+    return texts.mapInArrow(run, schema)
+
+
+def learn_kinds(texts: DataFrame) -> Kinds:
+    """Kinds from all texts: the words that are frequent, which of them meet, and anchors that hardly do.
+
+    Each task sends at most 16 * TELLING words, then TELLING * TELLING counts.
+    """
+
+    def frequent(rows):
         counter: Counter = Counter()
+        for t in rows:
+            counter.update(tokens(t))
+            if len(counter) > FLUSH:
+                counter = Counter(dict(counter.most_common(FLUSH // 4)))
+        top = counter.most_common(16 * TELLING)
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], ["word", "c"])
+
+    top = _partial(texts, "word binary, c long", frequent).groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(TELLING).collect()
+    words = [bytes(r.word) for r in top]
+    if not words:
+        return Kinds([], np.zeros((1, 0)))
+    index, m = {w: i for i, w in enumerate(words)}, len(words)
+
+    def meetings(rows):
+        total = np.zeros((m, m), np.int64)
+        for t in rows:
+            here = np.zeros(m, np.int64)
+            here[[index[w] for w in set(tokens(t)) & index.keys()]] = 1
+            some = np.flatnonzero(here)
+            total[np.ix_(some, some)] += 1
+        i, j = np.nonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "n"])
+
+    met = np.zeros((m, m))
+    for r in _partial(texts, "i long, j long, n long", meetings).groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+        met[r.i, r.j] = r.n
+    own = np.maximum(met.diagonal(), 1)
+    close = met / np.minimum.outer(own, own)
+    anchors = [0]
+    while len(anchors) < KINDS:
+        worst = close[anchors].max(axis=0)
+        # The most frequent word that hardly meets any anchor.
+        free = np.flatnonzero((worst < APART) & (own > own.max() / 200))
+        if not len(free):
+            break
+        anchors.append(int(free[0]))
+    weight = met[anchors] + 0.5
+    return Kinds(words, np.log(weight / weight.sum(axis=1, keepdims=True)))
+
+
+def count_words(texts: DataFrame, kinds: Kinds) -> DataFrame:
+    """(word, kind, c) over the binary column ``t``, counted within each task first; a null word counts the texts."""
+    blob = texts.sparkSession.sparkContext.broadcast(kinds)
+
+    def run(batches):
+        def out(counters):
+            flat = [(w, k, c) for k, counter in enumerate(counters) for w, c in counter.items()]
+            cols = zip(*flat) if flat else [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.int32(), pa.int64()))], ["word", "kind", "c"])
+
+        n = len(blob.value.logp)
+        counters: list[Counter] = [Counter() for _ in range(n)]
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counter.update(tokens(text))
+                ws = tokens(text)
+                counter = counters[blob.value.of(ws)]
+                counter.update(ws)
+                counter[None] += 1
                 if len(counter) > FLUSH:
-                    yield out(counter)
-                    counter = Counter()
-        yield out(counter)
+                    yield out(counters)
+                    counters = [Counter() for _ in range(n)]
+        yield out(counters)
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "word binary, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
 
 
-def reestimate(vocabulary: Pieces, counts: DataFrame) -> Pieces:
-    """The vocabulary with weights from all distinct words of ``counts``."""
+def reestimate(vocabulary: Pieces, counts: DataFrame, n_kinds: int) -> list[Pieces]:
+    """The vocabulary with each kind's weights, from all its distinct words in ``counts`` (word, kind)."""
     blob = counts.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        total = np.zeros(len(blob.value.pieces))
+        total = np.zeros((n_kinds, len(blob.value.pieces)))
         for batch in batches:
-            if batch.num_rows:
-                total += expected(blob.value, batch.column(0).to_pylist())
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.float64())], ["piece", "n"])
-
-    # As many rows as there are pieces.
-    found = counts.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    weight = np.full(len(vocabulary.pieces), SMOOTH)
+            words, kind = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            for k in range(n_kinds):
+                own = [words[i] for i in np.flatnonzero(kind == k)]
+                if own:
+                    total[k] += expected(blob.value, own)
+        k, piece = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(total[k, piece])], ["kind", "piece", "n"])
+
+    # As many rows as there are pieces and kinds.
+    found = counts.select("word", "kind").mapInArrow(run, "kind long, piece long, n double").groupBy("kind", "piece").agg(F.sum("n").alias("n")).collect()
+    weight = np.full((n_kinds, len(vocabulary.pieces)), SMOOTH)
     for r in found:
-        weight[r.piece] += r.n
-    if not found:
-        return vocabulary
-    logp = np.log(weight) - np.log(weight.sum())
+        weight[r.kind, r.piece] += r.n
+    logp = np.log(weight) - np.log(weight.sum(axis=1, keepdims=True))
     # Pieces no word used keep a share by their first weights.
-    return Pieces(vocabulary.pieces, np.logaddexp(np.log(0.999) + logp, np.log(0.001) + vocabulary.logp))
+    return [vocabulary.weighted(np.logaddexp(np.log(0.999) + x, np.log(0.001) + vocabulary.logp)) for x in logp]
 
 
 class Scorer:
-    """What turns a token's count, spelling and place into its two scores."""
+    """Turns a token's counts, spelling and place into scores; arrays are (kinds, tokens)."""
 
-    def __init__(self, n: int, v: int, once: int):
-        self.n, self.v = n, v
-        self.known = min(max(1 - once / n, 0.01), 0.999) if n else 0.0
+    def __init__(self, n: int, v: int, per_kind: np.ndarray, once: np.ndarray, texts: np.ndarray):
+        self.n, self.v, self.per_kind = n, v, np.maximum(per_kind, 1)[:, None]
+        self.known = np.where(per_kind > 0, np.clip(1 - once / np.maximum(per_kind, 1), 0.01, 0.999), 0.0)[:, None]
+        self.prior = np.log10((texts + 1) / (texts.sum() + len(texts)))
 
     def base(self, c):
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def token(self, c, spelled):
-        """Probability without the text's own history; spelled: natural log."""
-        return self.known * c / max(self.n, 1) + (1 - self.known) * np.exp(spelled)
+    def token(self, c, by_kind, spelled):
+        """Probabilities without the text's own history; spelled: natural logs."""
+        share = SHARE if self.n else 0.0
+        return self.known * by_kind / self.per_kind + (1 - self.known) * (share * c / max(self.n, 1) + (1 - share) * np.exp(spelled))
 
     def score(self, p, spelled, t, used):
-        """log10 with the history. ``spelled`` keeps words whose probability is below the smallest double apart from zero."""
+        """log10 with the history. ``spelled`` serves words whose probability is below the smallest double."""
         m = CACHE * t / (t + CACHE_AFTER)
         q = (1 - m) * p + m * used / np.maximum(t, 1)
-        tiny = (spelled + np.log1p(-self.known) + np.log1p(-m)) / np.log(10)
+        tiny = (spelled + np.log1p(-self.known) + np.log(1 - SHARE) + np.log1p(-m)) / np.log(10)
         return np.where(q > 1e-300, np.log10(np.maximum(q, 1e-300)), tiny)
 
 
@@ -281,13 +373,19 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
 
     Returns id_col, n_tokens, n_known, train_tokens, base_score and score.
     """
-    spark = docs.sparkSession
     texts = training.select(F.col(text_col).cast("binary").alias("t"))
-    counts = stash(count_words(texts), "counts")
-    ends = texts.count()
-    seen = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("once")).first()
-    scorer = Scorer(seen.n + ends, seen.v + bool(ends), seen.once)
-    vocabulary = reestimate(load_pieces(model_path), counts)
+    kinds = learn_kinds(texts)
+    n_kinds = len(kinds.logp)
+    parts = stash(count_words(texts, kinds), "counts")
+    by_kind = F.transform(F.sequence(F.lit(0), F.lit(n_kinds - 1)), lambda k: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda i, _: i == k)), F.lit(0)), F.lit(0)))
+    wide = parts.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("kind", "c"))).alias("m"))
+    counts = stash(wide.select("word", "c", by_kind.alias("by_kind")), "counts")
+    seen = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    stats = {r.kind: r for r in parts.groupBy("kind").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("c"))).alias("n"), F.count_if((F.col("c") == 1) & F.col("word").isNotNull()).alias("once"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("texts")).collect()}
+    each = lambda name: np.array([(getattr(stats[k], name) or 0) if k in stats else 0 for k in range(n_kinds)], np.float64)
+    ends = each("texts")
+    scorer = Scorer(seen.n + int(ends.sum()), seen.v + bool(ends.sum()), each("n") + ends, each("once"), ends)
+    vocabularies = reestimate(load_pieces(model_path), parts.where("word is not null"), n_kinds)
 
     # The head: from the most frequent down by bands of counts, as many bands as fit.
     band = F.floor(F.log2("c") * 16).cast("int")
@@ -297,18 +395,21 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
         if fill > HEAD:
             break
         cut = r.band
-    head = {} if cut is None else {bytes(r.word): r.c for r in counts.where(band >= cut).collect()}
+    head = {} if cut is None else {bytes(r.word): (r.c, r.by_kind) for r in counts.where(band >= cut).collect()}
     words = sorted(head)
-    c = np.array([head[w] for w in words], np.float64)
-    spelled = spelling(vocabulary, words)
+    c = np.array([head[w][0] for w in words], np.float64)
+    own = np.array([head[w][1] for w in words], np.float64).reshape(-1, n_kinds).T
+    spelled = np.stack([spelling(v, words) for v in vocabularies])
     index = {w: i for i, w in enumerate(words)}
-    model = spark.sparkContext.broadcast((scorer, vocabulary, index, c, spelled, ends))
+    model = docs.sparkSession.sparkContext.broadcast((scorer, vocabularies, index, c, own, spelled, ends))
+    names = [id_col, "uid", "n_tokens", "n_known", "base_score", "scores", "word", "t", "used"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.binary(), pa.int64(), pa.int64())
 
     def first(batches):
-        scorer, _, index, c, spelled, ends = model.value
-        p, base, get = scorer.token(c, spelled), scorer.base(c), index.get
-        end_c = np.array([float(ends)])
-        end_p, end_base = scorer.known * end_c / max(scorer.n, 1) + (1 - scorer.known) / (scorer.n + 1), float(scorer.base(end_c)[0])
+        scorer, _, index, c, own, spelled, ends = model.value
+        p, base, get = scorer.token(c, own, spelled), scorer.base(c), index.get
+        end_c, end_own, end_spelled = np.array([ends.sum()]), ends[:, None], np.full((len(ends), 1), -np.log(scorer.n + 1))
+        end_p, end_base = scorer.token(end_c, end_own, end_spelled), float(scorer.base(end_c)[0])
         uid = TaskContext.get().taskAttemptId() << 32
         for batch in batches:
             rows, tail = [], []
@@ -321,42 +422,43 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
                 used, t = history(ids), np.arange(n, dtype=np.float64)
                 at = np.flatnonzero(ids >= 0)
                 k = ids[at]
-                s = scorer.score(p[k], spelled[k], t[at], used[at]).sum() if n else 0.0
-                end = float(scorer.score(end_p, np.log(end_p), np.array([float(n)]), np.zeros(1))[0])
-                rows.append((uid, n + 1, len(at) + (ends > 0), float(base[k].sum()) + end_base, float(s) + end))
-                tail += [(uid, ws[i], i, int(used[i])) for i in np.flatnonzero(ids < 0).tolist()]
+                s = scorer.score(p[:, k], spelled[:, k], t[at], used[at]).sum(axis=1)
+                s = s + scorer.score(end_p, end_spelled, np.array([float(n)]), np.zeros(1))[:, 0]
+                rows.append((uid, n + 1, len(at) + int(end_c[0] > 0), float(base[k].sum()) + end_base, s.tolist(), None, None, None))
+                tail += [(uid, None, None, None, None, ws[i], i, int(used[i])) for i in np.flatnonzero(ids < 0).tolist()]
             ids_ = batch.column(0)
-            cols = [pa.array(x, y) for x, y in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            none = pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids_, *cols, *none], names)
+            yield pa.RecordBatch.from_arrays([ids_, *(pa.array(x, y) for x, y in zip(zip(*rows) if rows else [()] * 8, types))], names)
             for start in range(0, len(tail), 50_000):
-                u, w, i, o = zip(*tail[start : start + 50_000])
-                m = len(u)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, ids_.type), pa.array(u, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(w, pa.binary()), pa.array(i, pa.int64()), pa.array(o, pa.int64())], names)
+                part = tail[start : start + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), ids_.type), *(pa.array(x, y) for x, y in zip(zip(*part), types))], names)
 
-    names = [id_col, "uid", "n_tokens", "n_known", "base_score", "score", "word", "t", "used"]
     picked = docs.select(id_col, F.col(text_col).cast("binary").alias("_t"))
-    kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, uid long, n_tokens long, n_known long, base_score double, score double, word binary, t long, used long"
-    parts = stash(picked.mapInArrow(first, kinds), "scores")
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, uid long, n_tokens long, n_known long, base_score double, scores array<double>, word binary, t long, used long"
+    scored = stash(picked.mapInArrow(first, schema), "scores")
+    sums = ", ".join(f"s{k} double" for k in range(n_kinds))
 
     def rest(batches):
-        scorer, vocabulary, *_ = model.value
+        scorer, vocabularies, *_ = model.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, where = batch.column(1).dictionary_encode(), None
-            where = words.indices.to_numpy(zero_copy_only=False)
-            s = spelling(vocabulary, words.dictionary.to_pylist())[where]
-            c = batch.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
-            t, used = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3))
-            out = scorer.score(scorer.token(c, s), s, t, used)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(scorer.base(c)), pa.array(out)], ["uid", "k", "b", "s"])
-
-    tail = parts.where("word is not null").join(counts, "word", "left").select("uid", "word", "t", "used", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = tail.mapInArrow(rest, "uid long, k long, b double, s double").groupBy("uid").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return parts.where("word is null").join(sums, "uid", "left").select(
-        id_col, "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(scorer.n).cast("long").alias("train_tokens"), plus("base_score", "b").alias("base_score"), plus("score", "s").alias("score")
+            words = batch.column(1).dictionary_encode()
+            where, kept = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+            s = np.stack([spelling(v, kept) for v in vocabularies])[:, where]
+            t, used, c = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3, 4))
+            own = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(vocabularies)).T
+            out = scorer.score(scorer.token(c, own, s), s, t, used)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(scorer.base(c)), *map(pa.array, out)], ["uid", "k", "b", *(f"s{k}" for k in range(len(out)))])
+
+    none = F.array_repeat(F.lit(0).cast("long"), n_kinds)
+    tail = scored.where("word is not null").join(counts, "word", "left").select("uid", "word", "t", "used", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("by_kind", none).alias("by_kind"))
+    tail = tail.mapInArrow(rest, f"uid long, k long, b double, {sums}").groupBy("uid").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(n_kinds)])
+    plus = lambda a, b: (F.col(a) if isinstance(a, str) else a) + F.coalesce(b, F.lit(0))
+    paths = [plus(F.col("scores")[k], f"s{k}") + float(scorer.prior[k]) for k in range(n_kinds)]
+    best = F.greatest(*paths) if n_kinds > 1 else paths[0]
+    total = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in paths), F.lit(0.0)))
+    return scored.where("word is null").join(tail, "uid", "left").select(
+        id_col, "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(scorer.n).cast("long").alias("train_tokens"), plus("base_score", "b").alias("base_score"), total.alias("score")
     )
 
 

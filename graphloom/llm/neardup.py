@@ -7,23 +7,28 @@ star, the edges from one centre to its members, so pairs grow with the members
 and not with their square. Every edge is confirmed on the full shingle sets.
 
 A star alone would lose a link between two members of which one fails against
-the centre c. Such a pair (x, y) is found through what c lacks. All they share
-lies in c or outside of it, so
+the centre. After the first stars nearly all true members of a bucket are in
+one component, so the bucket goes on without its centre: each member outside of
+its most frequent component is a centre in turn. That is linear where few are
+left over, and it is done at once in buckets of at most ``SMALL`` members. In
+larger ones (a text with thousands of edited copies) the members are first
+dealt out by what the centre c lacks. All that two of them share lies in c or
+outside of it, so
 
     |x & y| <= min(|x & c|, |y & c|) + |(x - c) & (y - c)|,
 
 and a link asks for |x & y| >= 3/7 (|x| + |y|). Either the first term alone is
 large enough, which a comparison of four numbers tells (those pairs are few and
 are confirmed), or both hold shingles that c lacks: t of them at least, hence
-one among the |x - c| - t + 1 smallest of x's (prefix filtering). Members are
-dealt into finer buckets by those, and the loop goes on there without c, until
-every bucket's members are in one component. No pair is dropped by a cap. The
-centre is the member with the most bucket mates: a copied original meets all
-its copies, so what the others add to it is small. Buckets with the same
-members count once. Against a centre of n > ``SAMPLE`` shingles only those with
-hashes below SAMPLE / n of the range make finer buckets, and the comparison of
-numbers allows for ``SLACK`` of n: a pair that shares more of what c lacks is
-missed with probability exp(-SAMPLE * SLACK), 1e-9.
+one among the |x - c| - t + 1 smallest of x's (prefix filtering). These make
+finer buckets, with which the loop goes on until each is in one component. No
+pair is dropped by a cap. The centre is the member with the most bucket mates:
+a copied original meets all its copies, so what the others add to it is small.
+Buckets with the same members count once. Of a member with n > ``SAMPLE``
+shingles only those with hashes below SAMPLE / n of the range make finer
+buckets, and the comparison of numbers allows for ``SLACK`` of n: a pair that
+shares more of what c lacks is missed with probability exp(-3/4 SAMPLE * SLACK),
+1e-10.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32,
 5e-6.
@@ -50,7 +55,7 @@ WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
-SAMPLE, SLACK = 1024, 0.02
+SAMPLE, SLACK, SMALL = 1024, 0.03, 64
 CACHE_WORDS = 600_000
 
 _RNG = np.random.default_rng(20240229)
@@ -231,8 +236,8 @@ def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
                     # A partner has at least SIMILAR / PER of the size, so this many added shingles are shared at least.
                     t = max(1, -(-(SIMILAR * len(x) - PER * shared) // PER))
                     prefix, slack = added[: max(0, len(added) - t + 1)], 0
-                    if len(c) > SAMPLE:
-                        prefix, slack = prefix[prefix < np.uint64((SAMPLE << 64) // len(c))], int(SLACK * len(c)) + 1
+                    if len(x) > SAMPLE:
+                        prefix, slack = prefix[prefix < np.uint64((SAMPLE << 64) // len(x))], int(SLACK * len(x)) + 1
                     with np.errstate(over="ignore"):
                         finer = mix(prefix ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
                     alone = int(PER * (shared + slack) >= SIMILAR * len(x))
@@ -247,12 +252,21 @@ def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "bucket long, key long, node long, n long, deg long, shared long")
 
 
-def mixed_buckets(members: DataFrame, by: str) -> DataFrame:
-    """The buckets of (bucket, node, ...) with several values of ``by``; of those with the same members one."""
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """(bucket, size, main) of the buckets of (bucket, node, label) with several labels; of those with the same members one.
+
+    main: the most frequent label.
+    """
     found = members.groupBy("bucket").agg(
-        F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
     )
-    return found.where("lo < hi").groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    one = found.where("lo < hi").groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    counts = members.join(one, "bucket").groupBy("bucket", "size", "label").agg(F.count("*").alias("c"))
+    return counts.groupBy("bucket", "size").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
+
+
+def similar_size(a: str, b: str):
+    return F.least(a, b) * PER >= F.greatest(a, b) * SIMILAR
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,17 +277,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Every bucket list is a function of the set, so any row of the class serves: the one that names it.
     named = known.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
     members = named.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
-    buckets = stash(members.join(mixed_buckets(members, "node"), "bucket").select("bucket", "node", "n", "size"), "buckets")
+    members = members.withColumn("label", F.col("node"))
+    buckets = stash(members.join(mixed_buckets(members).select("bucket", "size"), "bucket").select("bucket", "node", "n", "size", "label"), "buckets")
     mates = buckets.groupBy("node").agg(F.sum("size").alias("deg"))
-    buckets = stash(buckets.join(mates, "node").select("bucket", "node", "n", "deg"), "buckets")
+    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main")), "buckets")
     sets = stash(sets_of(docs, buckets.select("node").distinct(), id_col, text_col).dropDuplicates(["node"]), "sets")
-    # A similarity of SIMILAR / PER is an intersection of SIMILAR / (PER + SIMILAR) of both sizes.
-    labels, links, checked, extra, first = None, [], [], None, True
+    labels, links, checked, extra = None, [], [], None
     while True:
-        hubs = buckets.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("deg", -F.col("node"))).alias("c"))
-        stars = buckets.join(hubs.select("bucket", F.col("c.node").alias("hub"), F.col("c.n").alias("nh")), "bucket").where("node <> hub")
-        near = stars.where(F.least("nh", "n") * PER >= F.greatest("nh", "n") * SIMILAR)
-        pairs = near.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
+        # Members outside of the main component, each the centre of a small bucket.
+        small = buckets.where(F.col("size") <= SMALL) if labels is not None else buckets.where(F.lit(False))
+        loose = small.where("label <> main").select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("label").alias("hub_label"))
+        pairs = small.join(loose, "bucket").where("label <> hub_label").where(similar_size("nh", "n"))
+        pairs = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
+        # One centre for each of the others.
+        large = buckets.where(F.col("size") > SMALL) if labels is not None else buckets
+        hubs = large.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("deg", -F.col("node"))).alias("c"))
+        stars = large.join(hubs.select("bucket", F.col("c.node").alias("hub"), F.col("c.n").alias("nh")), "bucket").where("node <> hub")
+        pairs = pairs.union(stars.where(similar_size("nh", "n")).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")))
         pairs = (pairs if extra is None else pairs.union(extra)).distinct()
         for old in checked:
             pairs = pairs.join(old, ["u", "v"], "left_anti")
@@ -283,20 +303,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if labels is None or not found.isEmpty():
             links.append(found)
             labels = components(functools.reduce(DataFrame.union, links))
-        # What is left: buckets whose members, without their centre, are in several components.
-        rest = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        # Buckets with one centre are one star at first; later ones only split, so the loop ends.
-        key = F.col("hub") if first else F.col("bucket")
-        open_stars = rest.join(mixed, "bucket", "left_semi").select(key.alias("key"), "hub", "node", "n", "deg").distinct()
+        # What is left: starred buckets whose members, without their centre, are in several components.
+        rest = stars.drop("label", "main", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = stash(rest.join(mixed_buckets(rest), "bucket").select("bucket", "key", "hub", "node", "n", "deg", "size", "label", "main"), "rest")
+        # Buckets of one origin and centre are one star. A key names the centres so far, and its members are among
+        # those of the key before without the new centre, so the loop ends.
+        open_stars = rest.where(F.col("size") > SMALL).select(F.xxhash64("key", "hub").alias("key"), "hub", "node", "n", "deg").distinct()
         parts = stash(differences(open_stars, sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        finer = parts.where("bucket is not null").select("bucket", "node", "n", "deg", "label")
-        buckets = stash(finer.join(mixed_buckets(finer, "label"), "bucket", "left_semi").select("bucket", "node", "n", "deg"), "buckets")
+        finer = parts.where("bucket is not null").select("bucket", "key", "node", "n", "deg", "label")
+        finer = finer.join(mixed_buckets(finer), "bucket").select("bucket", "key", "node", "n", "deg", "size", "label", "main")
+        buckets = stash(rest.where(F.col("size") <= SMALL).select(finer.columns).union(finer), "buckets")
         x = parts.where("bucket is null").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("label").alias("lu"))
         y = x.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("su").alias("sv"), F.col("lu").alias("lv"))
         inside = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & ((PER + SIMILAR) * F.least("su", "sv") >= SIMILAR * (F.col("nu") + F.col("nv")))
         extra = stash(x.join(y, "key").where(inside).select("u", "v").distinct(), "pairs")
-        first = False
         if buckets.isEmpty() and extra.isEmpty():
             break
 

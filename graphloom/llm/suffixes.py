@@ -203,7 +203,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = stash(rows.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")), "texts")
 
     kept = found.where("pos >= 0")
-    shared = kept.groupBy("key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("key")
+    # Written down, so that both sides of the join are dealt out alike and Spark can split a key that fills a task.
+    shared = stash(kept.groupBy("key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("key"), "shared")
     at = kept.join(shared, "key").groupBy("text_key").agg(F.collect_set("pos").alias("at"))
     wanted = at.join(classes, "text_key").select("text_key", F.col("rep").alias("doc_id"), "at")
     texts = rows.join(wanted.hint("shuffle_hash"), ["text_key", "doc_id"]).select("text_key", F.col("text").cast("binary").alias("t"), "at").dropDuplicates(["text_key"])
