@@ -55,8 +55,8 @@ WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
-SAMPLE, SLACK, SMALL = 1024, 0.03, 64
-CACHE_WORDS = 600_000
+SAMPLE, SLACK, SMALL = 1024, 0.03, 32
+CACHE_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,23 +168,23 @@ def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are links on their full sets."""
+    """(u, v, shared, link): what the full sets of each pair share, and whether that makes a link."""
     u = sets.select(F.col("node").alias("u"), F.col("h").alias("hu"))
     v = sets.select(F.col("node").alias("v"), F.col("h").alias("hv"))
 
     def run(batches):
         for batch in batches:
-            keep = []
+            shared, link = [], []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)))
                 both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(PER * shared >= SIMILAR * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+                n = int(np.count_nonzero(both[1:] == both[:-1]))
+                shared.append(n)
+                link.append(PER * n >= SIMILAR * (len(both) - n))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(link, pa.bool_())], ["u", "v", "shared", "link"])
 
     joined = pairs.join(u, "u").join(v, "v").select("u", "v", "hu", "hv")
-    return joined.mapInArrow(run, "u long, v long")
+    return joined.mapInArrow(run, "u long, v long, shared long, link boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,8 +244,10 @@ def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
                     m = len(finer) + alone
                     cols[0].append(np.append(finer, np.zeros(alone, np.int64)))
                     none.append(np.arange(m) >= len(finer))
-                    for k, v in enumerate((key[i], node[i], n[i], deg[i], shared + slack), 1):
+                    for k, v in enumerate((key[i], node[i], n[i], deg[i], shared), 1):
                         cols[k].append(np.full(m, v, np.int64))
+                    if alone:
+                        cols[5][-1][-1] += slack
                 rows = [np.concatenate(c) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], mask=np.concatenate(none)), *map(pa.array, rows[1:])], names)
 
@@ -280,14 +282,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.withColumn("label", F.col("node"))
     buckets = stash(members.join(mixed_buckets(members).select("bucket", "size"), "bucket").select("bucket", "node", "n", "size", "label"), "buckets")
     mates = buckets.groupBy("node").agg(F.sum("size").alias("deg"))
-    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main")), "buckets")
+    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main"), F.lit(None).cast("long").alias("shared")), "buckets")
     sets = stash(sets_of(docs, buckets.select("node").distinct(), id_col, text_col).dropDuplicates(["node"]), "sets")
     labels, links, checked, extra = None, [], [], None
     while True:
         # Members outside of the main component, each the centre of a small bucket.
         small = buckets.where(F.col("size") <= SMALL) if labels is not None else buckets.where(F.lit(False))
-        loose = small.where("label <> main").select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("label").alias("hub_label"))
-        pairs = small.join(loose, "bucket").where("label <> hub_label").where(similar_size("nh", "n"))
+        loose = small.where("label <> main").select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("label").alias("hub_label"), F.col("shared").alias("hs"))
+        # What two members can share at most: in the last centre, and outside of it.
+        most = F.least("hs", "shared") + F.least(F.col("nh") - F.col("hs"), F.col("n") - F.col("shared"))
+        can = F.coalesce((PER + SIMILAR) * most >= SIMILAR * (F.col("nh") + F.col("n")), F.lit(True))
+        pairs = small.join(loose, "bucket").where("label <> hub_label").where(similar_size("nh", "n") & can)
         pairs = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
         # One centre for each of the others.
         large = buckets.where(F.col("size") > SMALL) if labels is not None else buckets
@@ -299,19 +304,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(old, ["u", "v"], "left_anti")
         pairs = stash(pairs, "pairs")
         checked.append(pairs)
-        found = stash(confirm(pairs, sets), "links")
-        if labels is None or not found.isEmpty():
-            links.append(found)
+        found = stash(confirm(pairs, sets), "confirmed")
+        if labels is None or not found.where("link").isEmpty():
+            links.append(found.where("link").select("u", "v"))
             labels = components(functools.reduce(DataFrame.union, links))
         # What is left: starred buckets whose members, without their centre, are in several components.
-        rest = stars.drop("label", "main", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = stash(rest.join(mixed_buckets(rest), "bucket").select("bucket", "key", "hub", "node", "n", "deg", "size", "label", "main"), "rest")
+        rest = stars.drop("label", "main", "size", "shared").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = rest.join(mixed_buckets(rest), "bucket").withColumn("u", F.least("hub", "node")).withColumn("v", F.greatest("hub", "node"))
+        rest = stash(rest.join(found.drop("link"), ["u", "v"], "left").select("bucket", "key", "hub", "node", "n", "deg", "size", "label", "main", "shared"), "rest")
         # Buckets of one origin and centre are one star. A key names the centres so far, and its members are among
         # those of the key before without the new centre, so the loop ends.
         open_stars = rest.where(F.col("size") > SMALL).select(F.xxhash64("key", "hub").alias("key"), "hub", "node", "n", "deg").distinct()
         parts = stash(differences(open_stars, sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        finer = parts.where("bucket is not null").select("bucket", "key", "node", "n", "deg", "label")
-        finer = finer.join(mixed_buckets(finer), "bucket").select("bucket", "key", "node", "n", "deg", "size", "label", "main")
+        finer = parts.where("bucket is not null").select("bucket", "key", "node", "n", "deg", "label", "shared")
+        finer = finer.join(mixed_buckets(finer), "bucket").select("bucket", "key", "node", "n", "deg", "size", "label", "main", "shared")
         buckets = stash(rest.where(F.col("size") <= SMALL).select(finer.columns).union(finer), "buckets")
         x = parts.where("bucket is null").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("label").alias("lu"))
         y = x.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("su").alias("sv"), F.col("lu").alias("lv"))
