@@ -42,7 +42,7 @@ from graphloom.llm.quality import remainder
 FOLDS, HELD_OUT = 5, 1
 HEAD, FLUSH, BATCH, LONG = 100_000, 400_000, 20_000, 48
 #: Frequent words that tell kinds of text, the most kinds, and how rarely two kinds' words may meet.
-TELLING, KINDS, APART = 64, 6, 0.3
+TELLING, KINDS, APART = 64, 4, 0.3
 SHARE = 0.3
 CACHE, CACHE_AFTER = 0.45, 150.0
 MARK = "▁".encode()
@@ -104,7 +104,10 @@ def load_pieces(model_path: str) -> Pieces:
     found: dict[bytes, float] = {}
     for i in range(sp.get_piece_size()):
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
-            found.setdefault(sp.id_to_piece(i).encode(), sp.get_score(i))
+            piece = sp.id_to_piece(i).encode()
+            # A mark inside of a piece would reach over a blank, which no word does.
+            if MARK not in piece[1:]:
+                found.setdefault(piece, sp.get_score(i))
     scores = np.array(list(found.values()))
     logp = scores if scores.min() > -50 else -np.log(ZIPF_SHIFT - scores)
     floor = logp.min() - np.log(10)
@@ -117,21 +120,23 @@ def load_pieces(model_path: str) -> Pieces:
 
 
 def _arcs(vocabulary: Pieces, words: list[bytes]):
-    """For words of like length: the byte lengths, and (start, end, rows, piece ids) of every arc by end."""
+    """For words sorted by length: the byte lengths, the longest, and (start, end, rows, piece ids) of every arc by end."""
     n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
-    width = int(size.max())
-    data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+    width = int(size[-1])
+    data = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width).T.astype(np.uint64) + np.uint64(1)
     prefix = np.zeros((width + 1, n), np.uint64)
     for j in range(width):
-        prefix[j + 1] = prefix[j] * _B + (data[:, j].astype(np.uint64) + np.uint64(1))
+        prefix[j + 1] = prefix[j] * _B + data[j]
+    first = np.searchsorted(size, np.arange(width + 1))
     arcs = []
     for j in range(1, width + 1):
-        alive = size >= j
+        # Shorter words have ended: only the rows from here on.
+        lo = int(first[j])
         for i in range(max(0, j - vocabulary.longest), j):
-            ids = vocabulary.find(prefix[j] - prefix[i] * vocabulary.power[j - i])
-            rows = np.flatnonzero((ids >= 0) & alive)
+            ids = vocabulary.find(prefix[j, lo:] - prefix[i, lo:] * vocabulary.power[j - i])
+            rows = np.flatnonzero(ids >= 0)
             if len(rows):
-                arcs.append((i, j, rows, ids[rows]))
+                arcs.append((i, j, rows + lo, ids[rows]))
     return size, width, arcs
 
 
@@ -157,7 +162,7 @@ def _long_forward(logp: np.ndarray, word: bytes, arcs) -> np.ndarray:
 
 
 def _batches(words: list[bytes]):
-    """(positions, marked words) of like length."""
+    """(positions, marked words) sorted by length; long words come alone."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     short = [i for i in order if len(words[i]) <= LONG]
     for start in range(0, len(short), BATCH):
@@ -167,19 +172,24 @@ def _batches(words: list[bytes]):
         yield np.array([i]), [MARK + words[i]]
 
 
-def spelling(vocabulary: Pieces, words: list[bytes]) -> np.ndarray:
-    """log of the summed probability of all segmentations of each word."""
-    out = np.zeros(len(words))
+def spellings(vocabularies: list[Pieces], words: list[bytes]) -> np.ndarray:
+    """(vocabularies, words): log of the summed probability of all segmentations. The vocabularies differ in weights only."""
+    out = np.zeros((len(vocabularies), len(words)))
     with np.errstate(over="ignore"):
         for where, part in _batches(words):
             if len(part[0]) > LONG + len(MARK):
-                out[where] = _long_forward(vocabulary.logp, part[0], _long(vocabulary, part[0]))[-1]
+                arcs = _long(vocabularies[0], part[0])
+                out[:, where] = [[_long_forward(v.logp, part[0], arcs)[-1]] for v in vocabularies]
             else:
-                size, width, arcs = _arcs(vocabulary, part)
-                out[where] = _forward(vocabulary.logp, len(part), size, width, arcs)[1]
+                size, width, arcs = _arcs(vocabularies[0], part)
+                out[:, where] = [_forward(v.logp, len(part), size, width, arcs)[1] for v in vocabularies]
     return out
 
 
+def spelling(vocabulary: Pieces, words: list[bytes]) -> np.ndarray:
+    return spellings([vocabulary], words)[0]
+
+
 def expected(vocabulary: Pieces, words: list[bytes]) -> np.ndarray:
     """How often each piece is expected in the words, each word once: forward-backward over the lattice."""
     total = np.zeros(len(vocabulary.pieces))
@@ -352,7 +362,10 @@ class Scorer:
     def score(self, p, spelled, t, used):
         """log10 with the history. ``spelled`` serves words whose probability is below the smallest double."""
         m = CACHE * t / (t + CACHE_AFTER)
-        q = (1 - m) * p + m * used / np.maximum(t, 1)
+        q = (1 - m) * p
+        q += m * used / np.maximum(t, 1)
+        if not q.size or q.min() > 1e-300:
+            return np.log10(q)
         tiny = (spelled + np.log1p(-self.known) + np.log(1 - SHARE) + np.log1p(-m)) / np.log(10)
         return np.where(q > 1e-300, np.log10(np.maximum(q, 1e-300)), tiny)
 
@@ -399,7 +412,7 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
     words = sorted(head)
     c = np.array([head[w][0] for w in words], np.float64)
     own = np.array([head[w][1] for w in words], np.float64).reshape(-1, n_kinds).T
-    spelled = np.stack([spelling(v, words) for v in vocabularies])
+    spelled = spellings(vocabularies, words)
     index = {w: i for i, w in enumerate(words)}
     model = docs.sparkSession.sparkContext.broadcast((scorer, vocabularies, index, c, own, spelled, ends))
     names = [id_col, "uid", "n_tokens", "n_known", "base_score", "scores", "word", "t", "used"]
@@ -444,7 +457,7 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
                 continue
             words = batch.column(1).dictionary_encode()
             where, kept = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
-            s = np.stack([spelling(v, kept) for v in vocabularies])[:, where]
+            s = spellings(vocabularies, kept)[:, where]
             t, used, c = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3, 4))
             own = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(vocabularies)).T
             out = scorer.score(scorer.token(c, own, s), s, t, used)
