@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States, transitions and pieces each worker remembers before it starts anew.
-MAX_STATES, MAX_PIECES = 200_000, 700_000
+MAX_STATES, MAX_PIECES = 100_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -168,17 +168,20 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Piece to packed little-endian ids, filled by the transducer."""
+    """Piece to packed little-endian ids, filled by the transducer; two generations, so frequent pieces stay."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.old = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -256,18 +259,6 @@ class Decoder:
             yield state
 
 
-#: By broadcast: a worker process keeps its transducer from task to task.
-_CODECS: dict[int, tuple[Encoder, Decoder]] = {}
-
-
-def _codec(blob, pattern: str) -> tuple[Encoder, Decoder]:
-    key = id(blob.value)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Encoder(blob.value, pattern), Decoder(blob.value)
-    return _CODECS[key]
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode each whole text and decode its ids again.
 
@@ -281,7 +272,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = picked.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 
     def run(batches):
-        encoder, decoder = _codec(blob, pattern)
+        encoder, decoder = Encoder(blob.value, pattern), Decoder(blob.value)
         for batch in batches:
             ids, decoded = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
@@ -304,7 +295,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = picked.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        encoder, decoder = _codec(blob, pattern)
+        encoder, decoder = Encoder(blob.value, pattern), Decoder(blob.value)
         for batch in batches:
             counts, ids_sha, out_sha = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
