@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import classify as C
-from graphloom.operators import control, crossfile, findings, invariants, properties, reach, rules, scope, story
+from graphloom.operators import build, certificates, control, crossfile, findings, invariants, lookup, properties, reach, rules, scope, story
 from graphloom.plans import bindings as B
 from graphloom.sources import css_graph, files, html_graph
 
@@ -575,3 +575,97 @@ def calls_by_name(spark, sf_dir):
     nodes = B.events_graph(spark, sf_dir).nodes.where("node_type <> 'STRUCTURAL'")
     functions = nodes.where("label = 'purchase'").select("file", F.lit("call").alias("name"), "id")
     return crossfile.call_edges(nodes.select("file", "id", "code_snapshot"), functions)
+
+
+# --- building, lookups, certificates --------------------------------------------------------------
+
+
+@query("data_flow_edges", " SELECT DISTINCT file, source AS src, node_id AS dst FROM fl WHERE direction = 'in'", "events")
+def data_flow_edges(spark, sf_dir):
+    return build.data_flow_edges(B.events_graph(spark, sf_dir)).select("file", "src", "dst")
+
+
+@query("storage_write_edges", " SELECT DISTINCT f.file, f.source AS src, n.id AS dst FROM fl f JOIN nodes n ON n.file = f.file AND n.id = f.node_id WHERE f.direction = 'in' AND n.node_subtype = 'db_write'", "events")
+def storage_write_edges(spark, sf_dir):
+    return build.storage_edges(B.events_graph(spark, sf_dir)).where("edge_type = 'WRITES'").select("file", "src", "dst")
+
+
+@query("unique_edges", "SELECT l_orderkey AS src, l_suppkey AS dst, min(l_linenumber) AS ord FROM lineitem GROUP BY ALL")
+def unique_edges(spark, sf_dir):
+    edges = table(spark, sf_dir, "lineitem").select(F.lit("f").alias("file"), F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("CALLS").alias("edge_type"), F.col("l_linenumber").alias("ord"))
+    return build.unique_edges(edges).select("src", "dst", "ord")
+
+
+@query("flow_upsert", "SELECT l_orderkey AS node_id, l_returnflag AS name, bool_or(l_discount > 0.08) AS tainted FROM lineitem GROUP BY ALL")
+def flow_upsert(spark, sf_dir):
+    none = F.lit(None)
+    flows = table(spark, sf_dir, "lineitem").select(F.lit("f").alias("file"), F.col("l_orderkey").alias("node_id"), F.lit("in").alias("direction"), F.col("l_returnflag").alias("name"), F.lit("s").alias("source"), F.lit("t").alias("target"), F.col("l_linenumber").alias("pos"), F.lit("number").alias("data_type"), (F.col("l_discount") > 0.08).alias("tainted"), F.lit("NONE").alias("sensitivity"), none.cast("double").alias("range"), none.cast("double").alias("write_size"))
+    return build.upsert_flows(flows).select("node_id", "name", "tainted")
+
+
+@query("initial_taint", """ SELECT n.node_type, n.node_subtype, count(*) AS n_flows, count(*) FILTER (CASE WHEN n.node_type = 'INGRESS' THEN true WHEN n.node_subtype IN ('sanitize_html', 'encrypt') THEN false ELSE f.tainted END) AS n_tainted, 'FINANCIAL' AS sensitivity
+FROM fl f JOIN nodes n ON n.file = f.file AND n.id = f.node_id WHERE f.direction = 'out' GROUP BY ALL""", "events")
+def initial_taint(spark, sf_dir):
+    g = B.events_graph(spark, sf_dir)
+    nodes = g.nodes.select("file", F.col("id").alias("node_id"), "node_type", "node_subtype")
+    flows = build.initial_taint(g).where("direction = 'out'").join(nodes, ["file", "node_id"])
+    return flows.groupBy("node_type", "node_subtype", "sensitivity").agg(F.count("*").alias("n_flows"), F.count_if("tainted").alias("n_tainted"))
+
+
+@query("sentences", """ SELECT id, CASE WHEN node_type = 'CONTROL' THEN 'IF ' || id || ' THEN following block executes, gate type: {gate_type}' WHEN node_type = 'INGRESS' THEN label || ' receives {data_type} from ' || file || ', {context}'
+WHEN node_subtype IN ('db_write', 'sql_query') THEN label || ' executes {query_type} query containing {variables}, {context}' WHEN node_subtype = 'file_write' THEN label || ' accesses filesystem path containing {variables}, {context}'
+ELSE label || ' calls {method} on {object} with {args}, {context}' END AS sentence FROM nodes WHERE node_type <> 'STRUCTURAL'""", "events")
+def sentences(spark, sf_dir):
+    nodes = B.events_graph(spark, sf_dir).nodes.where("node_type <> 'STRUCTURAL'")
+    slots = F.create_map(F.lit("subject"), F.col("label"), F.lit("source"), F.col("file"), F.lit("condition"), F.col("id"))
+    return nodes.select("id", build.fill(build.template_key(F.col("node_type"), F.col("node_subtype")), slots).alias("sentence"))
+
+
+@query("pending_sentences", "SELECT p_partkey AS sid, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'x' END AS cls, CASE WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'x' END WHEN p_brand = 'Brand#1' THEN 'NEUTRAL' WHEN p_brand = 'Brand#2' THEN 'TAINTED' ELSE CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'x' END END AS taint_class FROM part")
+def pending_sentences(spark, sf_dir):
+    cls = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("x")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sid"), F.col("p_brand").alias("method"), cls.alias("cls"), cls.alias("taint_class"), F.when(F.col("p_size") % 3 == 0, "PENDING").otherwise("KNOWN").alias("taint_basis"))
+    functions = spark.createDataFrame([("Brand#1", 0, False), ("Brand#1", 1, True), ("Brand#2", 0, True), ("Brand#3", 0, None)], "name string, ord int, return_taint boolean")
+    return build.resolve_pending(rows, functions).select("sid", "cls", "taint_class")
+
+
+@query("callee_lookup", """ SELECT label, CASE label WHEN 'purchase' THEN 'STORAGE' WHEN 'click' THEN 'TRANSFORM' WHEN 'signup' THEN 'INGRESS' END AS kind, CASE label WHEN 'purchase' THEN 'db_write' WHEN 'click' THEN 'sanitize' WHEN 'signup' THEN 'http_request' END AS sub, count(*) AS n FROM nodes WHERE node_type <> 'STRUCTURAL' GROUP BY ALL""", "events")
+def callee_lookup(spark, sf_dir):
+    chain = F.expr("case label when 'purchase' then array('repo', 'save') when 'click' then array('app', 'x', 'escapeHtml') when 'signup' then array('a', 'req', 'query') when 'view' then array('Map', 'find') else array('thing') end")
+    calls = B.events_graph(spark, sf_dir).nodes.where("node_type <> 'STRUCTURAL'").select("label", chain.alias("chain"))
+    vocabulary = lookup.vocabulary(spark, [("req.query", "INGRESS", "http_request", True), ("eval", "EXTERNAL", "code_eval", False)])
+    return lookup.callee(calls, vocabulary).groupBy("label", F.col("node_type").alias("kind"), F.col("node_subtype").alias("sub")).agg(F.count("*").alias("n"))
+
+
+@query("module_identity", "SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'process' WHEN 'BUILDING' THEN 'filesystem' WHEN 'HOUSEHOLD' THEN 'database' END AS category FROM customer")
+def module_identity(spark, sf_dir):
+    name = F.expr("case c_mktsegment when 'MACHINERY' then 'node:child_process' when 'BUILDING' then 'fs/promises' when 'HOUSEHOLD' then 'pg' else 'left-pad' end")
+    return table(spark, sf_dir, "customer").select("c_custkey", lookup.module_category(name).alias("category"))
+
+
+@query("parameter_roles", """WITH u AS (SELECT user_id AS fn, event_type AS param, bool_or(value > 100) AS inv, bool_or(value < 1) AS rd, bool_or(value BETWEEN 50 AND 60) AS met FROM events GROUP BY ALL)
+SELECT fn AS function, param, CASE WHEN inv AND NOT rd THEN 'continuation' WHEN rd THEN 'input' WHEN met THEN 'output' ELSE 'data' END AS role FROM u""")
+def parameter_roles(spark, sf_dir):
+    fact = F.when(F.col("value") > 100, "invoked").when(F.col("value") < 1, "read").when(F.col("value").between(50, 60), "method").otherwise("passed")
+    facts = table(spark, sf_dir, "events").select(F.col("user_id").alias("function"), F.col("event_type").alias("param"), fact.alias("fact"))
+    every = table(spark, sf_dir, "events").select(F.col("user_id").alias("function"), F.col("event_type").alias("param"), F.lit("passed").alias("fact"))
+    return lookup.parameter_roles(facts.union(every))
+
+
+@query("transform_effects", " SELECT node_subtype, code_snapshot, CASE node_subtype WHEN 'encrypt' THEN 'destruction' WHEN 'parse' THEN 'format_constraint' ELSE 'unknown' END AS effect, count(*) AS n FROM nodes WHERE node_type = 'TRANSFORM' GROUP BY ALL", "events")
+def transform_effects(spark, sf_dir):
+    nodes = B.events_graph(spark, sf_dir).nodes.where("node_type = 'TRANSFORM'")
+    return nodes.groupBy("node_subtype", "code_snapshot", lookup.transform_effect(F.col("node_subtype"), F.col("code_snapshot")).alias("effect")).agg(F.count("*").alias("n"))
+
+
+@query("file_context", " SELECT file, false AS is_library, bool_or(node_type = 'INGRESS') AS is_web FROM nodes GROUP BY file", "events")
+def file_context(spark, sf_dir):
+    nodes = B.events_graph(spark, sf_dir).nodes
+    return lookup.library_files(nodes).join(lookup.web_context(nodes), "file")
+
+
+@query("certificates", None)
+def certificate_strengths(spark, sf_dir):
+    g = B.events_graph(spark, sf_dir)
+    found = properties.to_findings(properties.missing_auth(g)).select("file", "cwe", "source", "sink")
+    return certificates.certify(g, found).groupBy("class", "hops", "blocked", "strength").agg(F.count("*").alias("n"))
