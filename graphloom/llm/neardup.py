@@ -10,9 +10,9 @@ A star alone would lose a link between two members of which one fails against
 the centre. After the first stars nearly all true members of a bucket are in
 one component, so the bucket goes on without its centre: each member outside of
 its most frequent component is a centre in turn. That is linear where few are
-left over, and it is done at once in buckets of at most ``SMALL`` members. In
-larger ones (a text with thousands of edited copies) the members are first
-dealt out by what the centre c lacks. All that two of them share lies in c or
+left over, and it is done at once where left-over members times members are at
+most ``WORK``. In other buckets (a text with thousands of edited copies) the
+members are first dealt out by what the centre c lacks. All that two of them share lies in c or
 outside of it, so
 
     |x & y| <= min(|x & c|, |y & c|) + |(x - c) & (y - c)|,
@@ -41,7 +41,6 @@ same result. Rows that share an id but not a text share a component.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -55,7 +54,7 @@ WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
-SAMPLE, SLACK, SMALL = 1024, 0.03, 32
+SAMPLE, SLACK, WORK = 1024, 0.03, 1200
 CACHE_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
@@ -255,16 +254,17 @@ def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
-    """(bucket, size, main) of the buckets of (bucket, node, label) with several labels; of those with the same members one.
+    """(bucket, size, main, work) of the buckets of (bucket, node, label) with several labels; of those with the same members one.
 
-    main: the most frequent label.
+    main: the most frequent label. work: members outside of it times members.
     """
     found = members.groupBy("bucket").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")
     )
     one = found.where("lo < hi").groupBy("size", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     counts = members.join(one, "bucket").groupBy("bucket", "size", "label").agg(F.count("*").alias("c"))
-    return counts.groupBy("bucket", "size").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
+    best = counts.groupBy("bucket", "size").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.max("c").alias("c"))
+    return best.select("bucket", "size", "main", ((F.col("size") - F.col("c")) * F.col("size")).alias("work"))
 
 
 def similar_size(a: str, b: str):
@@ -282,12 +282,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.withColumn("label", F.col("node"))
     buckets = stash(members.join(mixed_buckets(members).select("bucket", "size"), "bucket").select("bucket", "node", "n", "size", "label"), "buckets")
     mates = buckets.groupBy("node").agg(F.sum("size").alias("deg"))
-    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main"), F.lit(None).cast("long").alias("shared")), "buckets")
+    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main"), F.lit(None).cast("long").alias("work"), F.lit(None).cast("long").alias("shared")), "buckets")
     sets = stash(sets_of(docs, buckets.select("node").distinct(), id_col, text_col).dropDuplicates(["node"]), "sets")
-    labels, links, checked, extra = None, [], [], None
+    labels = links = checked = extra = None
     while True:
-        # Members outside of the main component, each the centre of a small bucket.
-        small = buckets.where(F.col("size") <= SMALL) if labels is not None else buckets.where(F.lit(False))
+        # Members outside of the main component, each a centre where they are few.
+        small = buckets.where(F.coalesce(F.col("work") <= WORK, F.lit(False)))
         loose = small.where("label <> main").select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("label").alias("hub_label"), F.col("shared").alias("hs"))
         # What two members can share at most: in the last centre, and outside of it.
         most = F.least("hs", "shared") + F.least(F.col("nh") - F.col("hs"), F.col("n") - F.col("shared"))
@@ -295,30 +295,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = small.join(loose, "bucket").where("label <> hub_label").where(similar_size("nh", "n") & can)
         pairs = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
         # One centre for each of the others.
-        large = buckets.where(F.col("size") > SMALL) if labels is not None else buckets
+        large = buckets.where(F.coalesce(F.col("work") > WORK, F.lit(True)))
         hubs = large.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("deg", -F.col("node"))).alias("c"))
         stars = large.join(hubs.select("bucket", F.col("c.node").alias("hub"), F.col("c.n").alias("nh")), "bucket").where("node <> hub")
         pairs = pairs.union(stars.where(similar_size("nh", "n")).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")))
         pairs = (pairs if extra is None else pairs.union(extra)).distinct()
-        for old in checked:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        pairs = stash(pairs, "pairs")
-        checked.append(pairs)
+        pairs = stash(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"), "pairs")
+        checked = pairs if checked is None else stash(checked.union(pairs), "checked")
         found = stash(confirm(pairs, sets), "confirmed")
-        if labels is None or not found.where("link").isEmpty():
-            links.append(found.where("link").select("u", "v"))
-            labels = components(functools.reduce(DataFrame.union, links))
+        new = found.where("link").select("u", "v")
+        if labels is None or not new.isEmpty():
+            # The labels stand for all links so far.
+            labels = stash(components(new if links is None else links.union(new)), "labels")
+            links = labels.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))
         # What is left: starred buckets whose members, without their centre, are in several components.
-        rest = stars.drop("label", "main", "size", "shared").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = stars.drop("label", "main", "size", "work", "shared").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         rest = rest.join(mixed_buckets(rest), "bucket").withColumn("u", F.least("hub", "node")).withColumn("v", F.greatest("hub", "node"))
-        rest = stash(rest.join(found.drop("link"), ["u", "v"], "left").select("bucket", "key", "hub", "node", "n", "deg", "size", "label", "main", "shared"), "rest")
+        rest = stash(rest.join(found.drop("link"), ["u", "v"], "left").select("bucket", "key", "hub", "node", "n", "deg", "size", "label", "main", "work", "shared"), "rest")
         # Buckets of one origin and centre are one star. A key names the centres so far, and its members are among
         # those of the key before without the new centre, so the loop ends.
-        open_stars = rest.where(F.col("size") > SMALL).select(F.xxhash64("key", "hub").alias("key"), "hub", "node", "n", "deg").distinct()
+        open_stars = rest.where(F.col("work") > WORK).select(F.xxhash64("key", "hub").alias("key"), "hub", "node", "n", "deg").distinct()
         parts = stash(differences(open_stars, sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         finer = parts.where("bucket is not null").select("bucket", "key", "node", "n", "deg", "label", "shared")
-        finer = finer.join(mixed_buckets(finer), "bucket").select("bucket", "key", "node", "n", "deg", "size", "label", "main", "shared")
-        buckets = stash(rest.where(F.col("size") <= SMALL).select(finer.columns).union(finer), "buckets")
+        finer = finer.join(mixed_buckets(finer), "bucket").select("bucket", "key", "node", "n", "deg", "size", "label", "main", "work", "shared")
+        buckets = stash(rest.where(F.col("work") <= WORK).select(finer.columns).union(finer), "buckets")
         x = parts.where("bucket is null").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("label").alias("lu"))
         y = x.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("su").alias("sv"), F.col("lu").alias("lv"))
         inside = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & ((PER + SIMILAR) * F.least("su", "sv") >= SIMILAR * (F.col("nu") + F.col("nv")))
