@@ -104,3 +104,26 @@ def language_filter(findings: DataFrame, rules_tags: DataFrame, graph_tags: Data
     """Drop findings of rules whose platform tags don't overlap the file's; unknown tags keep them."""
     known = findings.join(rules_tags, "cwe", "left").join(graph_tags, "file", "left")
     return known.where("rule_tags is null or file_tags is null or arrays_overlap(rule_tags, file_tags)").drop("rule_tags", "file_tags")
+
+
+def evaluate_scoped(graph: Graph, rules: DataFrame) -> DataFrame:
+    """Rules that also name their sinks, and whose safe pattern is looked for in the sink's whole function.
+
+    rules: as RULES, with sink_pattern over the sink's subtype and code (null: any). Where a node has no enclosing
+    function its own text is the scope. A function's text is its node's, comments stripped beforehand.
+    """
+    never = "(?!x)x"
+    found = evaluate(graph, rules.drop("sink_pattern").withColumn("safe_pattern", F.lit(never)))
+    own = graph.nodes.select("file", F.col("id").alias("sink"), F.concat_ws(" ", "node_subtype", "code_snapshot").alias("text"), F.col("code_snapshot").alias("own"))
+    around = reach.nearest_function(graph).select("file", F.col("id").alias("sink"), "function")
+    bodies = graph.nodes.select("file", F.col("id").alias("function"), F.col("code_snapshot").alias("body"))
+    placed = found.join(own, ["file", "sink"]).join(around, ["file", "sink"], "left").join(bodies, ["file", "function"], "left")
+    placed = placed.join(F.broadcast(rules.select("cwe", "sink_pattern", F.col("safe_pattern").alias("safe"))), "cwe")
+    safe = F.coalesce(F.expr("coalesce(body, own) rlike safe"), F.lit(False))
+    return placed.where(F.expr("sink_pattern is null or text rlike sink_pattern")).where(~safe).select("file", "cwe", "name", "severity", "source", "sink", "missing")
+
+
+def path_traversal(spark: SparkSession, cwes: list[tuple[str, str]]) -> DataFrame:
+    """The family of rules from input to file access: one row per (cwe, name)."""
+    rows = [(c, n, "high", "INGRESS", "STORAGE", "T", "CONTROL", "CONTROL (path validation / directory restriction)", "(?i)" + SAFE["V"], None, True, r"(?i)file|path|open\s*\(") for c, n in cwes]
+    return spark.createDataFrame(rows, RULES + ", sink_pattern string")

@@ -48,3 +48,13 @@ def test_origin_violations(spark):
     nodes = g.nodes.withColumn("node_subtype", F.when(F.col("id") == "0", "db_write").otherwise("db_read")).withColumn("code_snapshot", F.lit("update owner_id"))
     origins = spark.createDataFrame([("owner_id",)], "field string")
     assert [r.id for r in api.origin_violations(type(g)(nodes, g.edges, g.flows), origins).collect()] == ["0"]
+
+
+def test_scoped_rules_look_at_the_whole_function(spark):
+    from graphloom.operators import rules
+
+    code = "def a():\n    open(input())\ndef b():\n    p = input()\n    check(p)\n    open(p)\n"
+    g = api.python_graphs(spark.createDataFrame([("x.py", code)], "file string, source_code string"))
+    family = rules.path_traversal(spark, [("CWE-23", "relative"), ("CWE-36", "absolute")])
+    found = rules.evaluate_scoped(g, family).join(g.nodes.select("file", F.col("id").alias("sink"), "line_start"), ["file", "sink"])
+    assert {(r.cwe, r.line_start) for r in found.collect()} == {("CWE-23", 2), ("CWE-36", 2)}
