@@ -253,7 +253,7 @@ def learn_kinds(texts: DataFrame) -> Kinds:
     def frequent(rows):
         counter: Counter = Counter()
         for t in rows:
-            counter.update(tokens(t))
+            counter.update(set(tokens(t)))
             if len(counter) > FLUSH:
                 counter = Counter(dict(counter.most_common(FLUSH // 4)))
         top = counter.most_common(16 * TELLING)
@@ -359,19 +359,27 @@ class Scorer:
         share = SHARE if self.n else 0.0
         return self.known * by_kind / self.per_kind + (1 - self.known) * (share * c / max(self.n, 1) + (1 - share) * np.exp(spelled))
 
-    def score(self, p, spelled, t, used):
-        """log10 with the history. ``spelled`` serves words whose probability is below the smallest double."""
+    @staticmethod
+    def cached(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place t: the share left to the model, and what one earlier use adds."""
+        t = np.arange(n, dtype=np.float64)
         m = CACHE * t / (t + CACHE_AFTER)
-        q = (1 - m) * p
-        q += m * used / np.maximum(t, 1)
-        if not q.size or q.min() > 1e-300:
+        return 1 - m, m / np.maximum(t, 1)
+
+    def score(self, p, spelled, keep, gain, used):
+        """log10 with the history. ``spelled`` (None: not needed) serves words whose probability is below the smallest double."""
+        q = p * keep
+        q += gain * used
+        if spelled is None or not q.size or q.min() > 1e-300:
             return np.log10(q)
-        tiny = (spelled + np.log1p(-self.known) + np.log(1 - SHARE) + np.log1p(-m)) / np.log(10)
+        tiny = (spelled + np.log1p(-self.known) + np.log(1 - SHARE) + np.log(keep)) / np.log(10)
         return np.where(q > 1e-300, np.log10(np.maximum(q, 1e-300)), tiny)
 
 
 def history(ids: np.ndarray) -> np.ndarray:
     """How often each token's id stands before it."""
+    if not len(ids):
+        return np.empty(0, np.int64)
     order = np.argsort(ids, kind="stable")
     ordered = ids[order]
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
@@ -424,21 +432,27 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
         end_c, end_own, end_spelled = np.array([ends.sum()]), ends[:, None], np.full((len(ends), 1), -np.log(scorer.n + 1))
         end_p, end_base = scorer.token(end_c, end_own, end_spelled), float(scorer.base(end_c)[0])
         uid = TaskContext.get().taskAttemptId() << 32
+        keep, gain = scorer.cached(4096)
         for batch in batches:
             rows, tail = [], []
             for text in batch.column(1).to_pylist():
                 uid += 1
                 ws = tokens(text)
                 n = len(ws)
+                if n >= len(keep):
+                    keep, gain = scorer.cached(2 * n)
+                ids = np.array([get(w, -1) for w in ws], np.int64)
+                rare = np.flatnonzero(ids < 0)
                 local: dict[bytes, int] = {}
-                ids = np.fromiter((i if (i := get(w)) is not None else -1 - local.setdefault(w, len(local)) for w in ws), np.int64, n)
-                used, t = history(ids), np.arange(n, dtype=np.float64)
+                ids[rare] = [-1 - local.setdefault(ws[i], len(local)) for i in rare.tolist()]
+                used = history(ids)
                 at = np.flatnonzero(ids >= 0)
                 k = ids[at]
-                s = scorer.score(p[:, k], spelled[:, k], t[at], used[at]).sum(axis=1)
-                s = s + scorer.score(end_p, end_spelled, np.array([float(n)]), np.zeros(1))[:, 0]
+                # Words of the head have counts, so their probabilities are far from zero.
+                s = scorer.score(p[:, k], None, keep[at], gain[at], used[at]).sum(axis=1)
+                s = s + scorer.score(end_p, end_spelled, keep[n : n + 1], gain[n : n + 1], np.zeros(1))[:, 0]
                 rows.append((uid, n + 1, len(at) + int(end_c[0] > 0), float(base[k].sum()) + end_base, s.tolist(), None, None, None))
-                tail += [(uid, None, None, None, None, ws[i], i, int(used[i])) for i in np.flatnonzero(ids < 0).tolist()]
+                tail += [(uid, None, None, None, None, ws[i], i, int(used[i])) for i in rare.tolist()]
             ids_ = batch.column(0)
             yield pa.RecordBatch.from_arrays([ids_, *(pa.array(x, y) for x, y in zip(zip(*rows) if rows else [()] * 8, types))], names)
             for start in range(0, len(tail), 50_000):
@@ -460,7 +474,8 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
             s = spellings(vocabularies, kept)[:, where]
             t, used, c = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (2, 3, 4))
             own = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(vocabularies)).T
-            out = scorer.score(scorer.token(c, own, s), s, t, used)
+            m = CACHE * t / (t + CACHE_AFTER)
+            out = scorer.score(scorer.token(c, own, s), s, 1 - m, m / np.maximum(t, 1), used)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((c > 0).astype(np.int64)), pa.array(scorer.base(c)), *map(pa.array, out)], ["uid", "k", "b", *(f"s{k}" for k in range(len(out)))])
 
     none = F.array_repeat(F.lit(0).cast("long"), n_kinds)
