@@ -10,9 +10,10 @@ A star alone would lose a link between two members of which one fails against
 the centre. After the first stars nearly all true members of a bucket are in
 one component, so the bucket goes on without its centre: each member outside of
 its most frequent component is a centre in turn. That is linear where few are
-left over, and it is done at once where left-over members times members are at
-most ``WORK``. In other buckets (a text with thousands of edited copies) the
-members are first dealt out by what the centre c lacks. All that two of them share lies in c or
+left over: buckets of one centre are taken together, and it is done at once
+where left-over members times members are at most ``GROUP_WORK``. In larger
+groups (a text with thousands of edited copies) the members are first dealt out
+by what the centre c lacks. All that two of them share lies in c or
 outside of it, so
 
     |x & y| <= min(|x & c|, |y & c|) + |(x - c) & (y - c)|,
@@ -21,7 +22,8 @@ and a link asks for |x & y| >= 3/7 (|x| + |y|). Either the first term alone is
 large enough, which a comparison of four numbers tells (those pairs are few and
 are confirmed), or both hold shingles that c lacks: t of them at least, hence
 one among the |x - c| - t + 1 smallest of x's (prefix filtering). These make
-finer buckets, with which the loop goes on until each is in one component. No
+finer buckets (done at once up to ``WORK``), with which the loop goes on until
+each is in one component. No
 pair is dropped by a cap. The centre is the member with the most bucket mates:
 a copied original meets all its copies, so what the others add to it is small.
 Buckets with the same members count once. Of a member with n > ``SAMPLE``
@@ -54,7 +56,7 @@ WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
-SAMPLE, SLACK, WORK = 1024, 0.03, 1200
+SAMPLE, SLACK, WORK, GROUP_WORK = 1024, 0.03, 1200, 20_000
 CACHE_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
@@ -282,12 +284,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.withColumn("label", F.col("node"))
     buckets = stash(members.join(mixed_buckets(members).select("bucket", "size"), "bucket").select("bucket", "node", "n", "size", "label"), "buckets")
     mates = buckets.groupBy("node").agg(F.sum("size").alias("deg"))
-    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main"), F.lit(None).cast("long").alias("work"), F.lit(None).cast("long").alias("shared")), "buckets")
+    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main"), F.lit(False).alias("direct"), F.lit(None).cast("long").alias("shared")), "buckets")
     sets = stash(sets_of(docs, buckets.select("node").distinct(), id_col, text_col).dropDuplicates(["node"]), "sets")
     labels = links = checked = extra = None
     while True:
         # Members outside of the main component, each a centre where they are few.
-        small = buckets.where(F.coalesce(F.col("work") <= WORK, F.lit(False)))
+        small = buckets.where("direct")
         loose = small.where("label <> main").select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("label").alias("hub_label"), F.col("shared").alias("hs"))
         # What two members can share at most: in the last centre, and outside of it.
         most = F.least("hs", "shared") + F.least(F.col("nh") - F.col("hs"), F.col("n") - F.col("shared"))
@@ -295,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = small.join(loose, "bucket").where("label <> hub_label").where(similar_size("nh", "n") & can)
         pairs = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
         # One centre for each of the others.
-        large = buckets.where(F.coalesce(F.col("work") > WORK, F.lit(True)))
+        large = buckets.where("not direct")
         hubs = large.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("deg", -F.col("node"))).alias("c"))
         stars = large.join(hubs.select("bucket", F.col("c.node").alias("hub"), F.col("c.n").alias("nh")), "bucket").where("node <> hub")
         pairs = pairs.union(stars.where(similar_size("nh", "n")).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")))
@@ -309,16 +311,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = stash(components(new if links is None else links.union(new)), "labels")
             links = labels.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))
         # What is left: starred buckets whose members, without their centre, are in several components.
-        rest = stars.drop("label", "main", "size", "work", "shared").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = rest.join(mixed_buckets(rest), "bucket").withColumn("u", F.least("hub", "node")).withColumn("v", F.greatest("hub", "node"))
-        rest = stash(rest.join(found.drop("link"), ["u", "v"], "left").select("bucket", "key", "hub", "node", "n", "deg", "size", "label", "main", "work", "shared"), "rest")
-        # Buckets of one origin and centre are one star. A key names the centres so far, and its members are among
+        rest = stars.drop("label", "main", "size", "direct", "shared").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = rest.join(mixed_buckets(rest).select("bucket"), "bucket").withColumn("u", F.least("hub", "node")).withColumn("v", F.greatest("hub", "node"))
+        # Buckets of one origin and centre are one group. A key names the centres so far, and its members are among
         # those of the key before without the new centre, so the loop ends.
-        open_stars = rest.where(F.col("work") > WORK).select(F.xxhash64("key", "hub").alias("key"), "hub", "node", "n", "deg").distinct()
-        parts = stash(differences(open_stars, sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        group = rest.join(found.drop("link"), ["u", "v"], "left").select(F.xxhash64("key", "hub").alias("bucket"), "hub", "node", "n", "deg", "label", "shared").distinct()
+        group = stash(group.join(mixed_buckets(group), "bucket").withColumn("key", F.col("bucket")).withColumn("direct", F.col("work") <= GROUP_WORK), "groups")
+        parts = stash(differences(group.where("not direct"), sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         finer = parts.where("bucket is not null").select("bucket", "key", "node", "n", "deg", "label", "shared")
-        finer = finer.join(mixed_buckets(finer), "bucket").select("bucket", "key", "node", "n", "deg", "size", "label", "main", "work", "shared")
-        buckets = stash(rest.where(F.col("work") <= WORK).select(finer.columns).union(finer), "buckets")
+        finer = finer.join(mixed_buckets(finer), "bucket").withColumn("direct", F.col("work") <= WORK)
+        columns = ("bucket", "key", "node", "n", "deg", "size", "label", "main", "direct", "shared")
+        buckets = stash(group.where("direct").select(*columns).union(finer.select(*columns)), "buckets")
         x = parts.where("bucket is null").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("label").alias("lu"))
         y = x.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("su").alias("sv"), F.col("lu").alias("lv"))
         inside = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & ((PER + SIMILAR) * F.least("su", "sv") >= SIMILAR * (F.col("nu") + F.col("nv")))

@@ -54,6 +54,7 @@ def test_against_brute_force(spark):
 
 def test_large_bucket_is_dealt_finer(spark, monkeypatch):
     monkeypatch.setattr(neardup, "WORK", 8)
+    monkeypatch.setattr(neardup, "GROUP_WORK", 8)
     monkeypatch.setattr(neardup, "SAMPLE", 100)
     rnd = random.Random(9)
     base = [f"w{rnd.randrange(4000)}" for _ in range(150)]
