@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States, transitions and pieces each worker remembers before it starts anew.
-MAX_STATES, MAX_PIECES = 100_000, 200_000
+MAX_STATES, MAX_PIECES = 160_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -103,7 +103,7 @@ class Transducer:
         key = (before, token)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * MAX_STATES:
+            if len(self.fits) > 3 * MAX_STATES:
                 self.fits.clear()
             right = self.spine(token)
             if before < 0:
