@@ -56,7 +56,7 @@ WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
-SAMPLE, SLACK, WORK, GROUP_WORK = 1024, 0.03, 1200, 20_000
+SAMPLE, SLACK, WORK, GROUP_WORK = 1024, 0.03, 1200, 5_000
 CACHE_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
