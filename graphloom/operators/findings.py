@@ -48,8 +48,9 @@ def family_dedup(findings: DataFrame) -> DataFrame:
     every = Window.partitionBy("file", "grp")
     order = every.orderBy((F.col("cwe") != F.col("family")).cast("int"), severity_rank(F.col("severity")).desc(), _number(F.col("cwe")), "ord")
     tagged = tagged.withColumn("cwes", F.array_sort(F.collect_set("cwe").over(every))).withColumn("rn", F.row_number().over(order))
-    kept = tagged.where("size(cwes) = 1 or rn = 1")
-    losers = F.when(F.size("cwes") > 1, F.array_join(F.filter("cwes", lambda c: c != F.col("cwe")), ",")).otherwise("")
+    alone = F.col("grp").startswith("#")
+    kept = tagged.where(alone | F.expr("size(cwes) = 1 or rn = 1"))
+    losers = F.when(~alone & (F.size("cwes") > 1), F.array_join(F.filter("cwes", lambda c: c != F.col("cwe")), ",")).otherwise("")
     return kept.select(*findings.columns, losers.alias("collapsed_cwes"))
 
 

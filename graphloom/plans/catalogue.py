@@ -385,7 +385,7 @@ def dedup_l2(spark, sf_dir):
 @query("dedup_family", f"""WITH f AS ({_FINDINGS}), m AS (SELECT *, CASE WHEN cwe IN ('CWE-22', 'CWE-23', 'CWE-36') THEN 'CWE-22' WHEN cwe IN ('CWE-79', 'CWE-80') THEN 'CWE-79' END AS family FROM f),
 g AS (SELECT *, CASE WHEN family IS NOT NULL AND {_CAT} <> 'EFFECTIVE_CONTROL' THEN family || '::' || source || '::' || sink || '::' || {_CAT} ELSE '#' || ord END AS grp FROM m),
 r AS (SELECT *, list_sort(list_distinct(list(cwe) OVER (PARTITION BY file, grp))) AS cwes, row_number() OVER (PARTITION BY file, grp ORDER BY (cwe <> family)::INT, {_RANK} DESC, regexp_extract(cwe, '(\\d+)', 1)::INT, ord) AS rn FROM g)
-SELECT ord, file, cwe, source, sink, missing, severity, CASE WHEN len(cwes) > 1 THEN array_to_string(list_filter(cwes, lambda c: c <> cwe), ',') ELSE '' END AS collapsed_cwes FROM r WHERE len(cwes) = 1 OR rn = 1""")
+SELECT ord, file, cwe, source, sink, missing, severity, CASE WHEN len(cwes) > 1 AND grp NOT LIKE '#%' THEN array_to_string(list_filter(cwes, lambda c: c <> cwe), ',') ELSE '' END AS collapsed_cwes FROM r WHERE len(cwes) = 1 OR rn = 1 OR grp LIKE '#%'""")
 def dedup_family(spark, sf_dir):
     return findings.family_dedup(_findings(spark, sf_dir))
 
