@@ -398,9 +398,8 @@ def score_documents(docs: DataFrame, training: DataFrame, model_path: str, id_co
     kinds = learn_kinds(texts)
     n_kinds = len(kinds.logp)
     parts = stash(count_words(texts, kinds), "counts")
-    by_kind = F.transform(F.sequence(F.lit(0), F.lit(n_kinds - 1)), lambda k: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda i, _: i == k)), F.lit(0)), F.lit(0)))
-    wide = parts.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("kind", "c"))).alias("m"))
-    counts = stash(wide.select("word", "c", by_kind.alias("by_kind")), "counts")
+    by_kind = F.array(*[F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)) for k in range(n_kinds)])
+    counts = stash(parts.where("word is not null").groupBy("word").agg(F.sum("c").alias("c"), by_kind.alias("by_kind")), "counts")
     seen = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     stats = {r.kind: r for r in parts.groupBy("kind").agg(F.sum(F.when(F.col("word").isNotNull(), F.col("c"))).alias("n"), F.count_if((F.col("c") == 1) & F.col("word").isNotNull()).alias("once"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("texts")).collect()}
     each = lambda name: np.array([(getattr(stats[k], name) or 0) if k in stats else 0 for k in range(n_kinds)], np.float64)
