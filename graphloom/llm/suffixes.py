@@ -10,13 +10,15 @@ the passage stands, so equal passages keep suffixes at equal places.
    neighbours can agree.
 2. The others fetch the words around them and are sorted by what follows
    (a sparse suffix array) and by what precedes (its mirror).
-3. Neighbours of different texts are compared: matches are extended left and
-   right, and those of ``MIN_WORDS`` or more are passages. Both need no more
-   than a minimiser's reach, because the next minimiser carries on.
+3. Each row is compared with its neighbours of different texts, the last one
+   before it and the first one after it: matches are extended left and right,
+   and those of ``MIN_WORDS`` or more are passages. Both need no more than a
+   minimiser's reach, because the next minimiser carries on.
 
 Sorting is by range over key, context and document, so that a passage that a
 third of all rows share is dealt over many tasks; the pairs that a cut between
-tasks parts are compared afterwards, two rows a task.
+tasks parts are compared afterwards: a task hands on the rows of the one text
+at its start and of the one at its end.
 
 A text is compared once however often it occurs; of a text of ``MIN_WORDS``
 words or more that several documents hold, all is repeated. Null text has no
@@ -138,30 +140,60 @@ _FOUND = "edge boolean, key long, ahead binary, behind binary, text_key long, po
 
 
 def _neighbours(batches):
-    """Passages of rows sorted by key: each row against the last one of another text. Edge rows of the task are handed on."""
+    """Passages of rows sorted by key: each row against the last one before it and the first one after it of other texts.
+
+    Rows that follow each other in one key and text are a run. Those of a run that have equal contexts and stand at
+    most ``MIN_WORDS`` apart are one item (pos to hi): any match of theirs is as long, so their spans join. Edge rows
+    are handed on: what the task's first and last run, and their neighbours, may still meet in other tasks.
+    """
     names = ["edge", "key", "ahead", "behind", "text_key", "pos", "start", "end", "other"]
     kinds = (pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    last = other = None  # the row before; the last one before it of another text
+    run, other, first = [], None, True  # items of the run; the last item before it of another text; is it the task's first
+    out: list = []
+
+    def edge(item):
+        out.append((True, *item[:5], None, item[5], None))
+
+    def meet(x, y):
+        right, left = KEY + agree(x[1], y[1]), agree(x[2], y[2])
+        if left + right >= MIN_WORDS:
+            for a, b in ((x, y), (y, x)):
+                out.append((False, None, None, None, a[3], None, a[4] - left, a[5] + right, b[3]))
+
+    def close(after):
+        """End the run; ``after`` is the row behind it in the same key."""
+        for item in run:
+            if first:
+                edge(item)
+            if other is not None:
+                meet(other, item)
+        if after is not None:
+            if first:
+                edge(after)
+            # The last item is met as the one before the next run.
+            for item in run[:-1]:
+                meet(item, after)
+
     for batch in batches:
-        out = []
-        for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if last is None:
-                out.append((True, *row, None, None, None))
-            elif last[0] != row[0]:
-                other = None
-            mate = other
-            if last is not None and last[0] == row[0] and last[3] != row[3]:
-                mate = other = last
-            if mate is not None:
-                right, left = KEY + agree(mate[1], row[1]), agree(mate[2], row[2])
-                if left + right >= MIN_WORDS:
-                    for x, y in ((mate, row), (row, mate)):
-                        out.append((False, None, None, None, x[3], None, x[4] - left, x[4] + right, y[3]))
-            last = row
+        for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            last = run[-1] if run else None
+            if last is not None and (last[0] != row[0] or last[3] != row[3]):
+                same = last[0] == row[0]
+                close(row if same else None)
+                run, other, first = [], last if same else None, False
+            elif last is not None and last[1] == row[1] and last[2] == row[2] and row[4] - last[5] <= MIN_WORDS:
+                last[5] = max(last[5], row[5])
+                continue
+            run.append(list(row))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip((True, *last, None, None, None)), kinds)], names)
+            out.clear()
+    if run:
+        close(None)
+        if not first:
+            for item in run if other is None else [other, *run]:
+                edge(item)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
 
 def passages(around: DataFrame) -> DataFrame:
@@ -169,10 +201,10 @@ def passages(around: DataFrame) -> DataFrame:
     out = None
     for order in (("key", "ahead", "behind"), ("key", "behind", "ahead")):
         cols = (*order, "text_key", "pos")
-        ranged = around.repartitionByRange(*cols).sortWithinPartitions(*cols).select("key", "ahead", "behind", "text_key", "pos")
+        ranged = around.repartitionByRange(*cols).sortWithinPartitions(*cols).select("key", "ahead", "behind", "text_key", "pos", F.col("pos").alias("hi"))
         found = stash(ranged.mapInArrow(_neighbours, _FOUND), "passages")
-        # What the cuts between tasks parted: two rows of each task.
-        edges = found.where("edge").select("key", "ahead", "behind", "text_key", "pos").coalesce(1).sortWithinPartitions(*cols)
+        # What the cuts between tasks parted: the first and the last run of each task.
+        edges = found.where("edge").select("key", "ahead", "behind", "text_key", "pos", F.col("end").alias("hi")).coalesce(1).sortWithinPartitions(*cols)
         both = found.union(edges.mapInArrow(_neighbours, _FOUND)).where("not edge").select("text_key", "start", "end", "other")
         out = both if out is None else out.union(both)
     return out

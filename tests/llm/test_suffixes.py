@@ -1,6 +1,9 @@
+import itertools
 import random
 
-from graphloom.llm.suffixes import MIN_WORDS, minimisers, repeated_passages, word_ids
+import pyarrow as pa
+
+from graphloom.llm.suffixes import KEY, MIN_WORDS, REACH, _neighbours, minimisers, repeated_passages, word_ids
 
 
 def brute(rows):
@@ -39,6 +42,35 @@ def test_against_brute_force(spark):
             assert r.partner_id != r.doc_id and sum(s.end - s.start for s in r.spans) == r.n_repeated
 
 
+def test_passage_held_twice_by_one_text(spark):
+    rnd = random.Random(5)
+    text = lambda n: [f"v{rnd.randrange(90000)}" for _ in range(n)]
+    rows = []
+    # One text of each pair holds the passage twice; in some pairs it has the smaller key.
+    for k, n in enumerate([100, 200, 300, 400, 60] * 4):
+        passage = text(n)
+        rows += [(2 * k, " ".join(text(20) + passage + text(30) + passage + text(10))), (2 * k + 1, " ".join(text(40) + passage + text(5)))]
+    # Of one word: neighbouring suffixes are alike, and their runs are longer than a task.
+    rows += [(90, " ".join(["of"] * 3000)), (91, " ".join(["of"] * 700 + text(60) + ["of"] * 900))]
+    assert {i: (r.n_words, r.n_repeated) for i, r in run(spark, rows).items()} == brute(rows)
+
+
+def test_runs_across_task_cuts():
+    def batch(rows):
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["key", "ahead", "behind", "text_key", "pos", "hi"])
+
+    word = b"wxyz" * REACH
+    rows = [(1, word, word, 5, p, p) for p in (100, 300, 500)] + [(1, word, word, 7, p, p) for p in (40, 900)] + [(2, word, word, 5, 700, 700)]
+    whole = {(text, p - REACH, p + KEY + REACH) for k, _, _, text, p, _ in rows if k == 1}
+    for cuts in itertools.product((0, 1), repeat=len(rows) - 1):
+        at = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(rows)]
+        found = [r for a, b in zip(at, at[1:]) for out in _neighbours([batch(rows[a:b])]) for r in out.to_pylist()]
+        edges = sorted((r["key"], r["ahead"], r["behind"], r["text_key"], r["pos"], r["end"]) for r in found if r["edge"])
+        found += [r for out in _neighbours([batch(edges)]) for r in out.to_pylist()]
+        assert {(r["text_key"], r["start"], r["end"]) for r in found if not r["edge"]} == whole
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 
