@@ -236,48 +236,82 @@ class Kinds:
 
 
 def _partial(texts: DataFrame, schema: str, work) -> DataFrame:
-    """One Arrow batch a task, from ``work(texts of the task)``."""
+    """The Arrow batches of ``work(texts of the task)``."""
 
     def run(batches):
-        yield work(t for batch in batches for t in batch.column(0).to_pylist())
+        yield from work(t for batch in batches for t in batch.column(0).to_pylist())
 
     return texts.mapInArrow(run, schema)
 
 
-def learn_kinds(texts: DataFrame) -> Kinds:
-    """Kinds from all texts: the words that are frequent, which of them meet, and anchors that hardly do.
+def _totals(texts: DataFrame, most: int | None) -> DataFrame:
+    """(word, c) of all texts. With ``most``: of each ``FLUSH`` distinct words only so many, and as null what each other one has at most."""
 
-    Each task sends at most 16 * TELLING words, then TELLING * TELLING counts.
-    """
+    def run(rows):
+        def out(counter):
+            top = list(counter.items()) if most is None else counter.most_common(most + 1)
+            if most is not None and len(top) > most:
+                top[most] = (None, top[most][1])
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], ["word", "c"])
 
-    def frequent(rows):
         counter: Counter = Counter()
         for t in rows:
             counter.update(tokens(t))
             if len(counter) > FLUSH:
-                counter = Counter(dict(counter.most_common(FLUSH // 4)))
-        top = counter.most_common(16 * TELLING)
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], ["word", "c"])
+                yield out(counter)
+                counter = Counter()
+        yield out(counter)
+
+    return _partial(texts, "word binary, c long", run).groupBy("word").agg(F.sum("c").alias("c"))
 
-    top = _partial(texts, "word binary, c long", frequent).groupBy("word").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "word").limit(TELLING).collect()
-    words = [bytes(r.word) for r in top]
+
+def candidates(texts: DataFrame) -> list[bytes]:
+    """Words that hold the ``TELLING`` most frequent ones for certain, 16 * TELLING at most.
+
+    The most frequent words of each part give totals that are short by what the parts leave out at most. Only where
+    that leaves too many words open are all words counted.
+    """
+    most = 16 * TELLING
+    some = stash(_totals(texts, most), "frequent")
+    short = (some.where("word is null").first() or {"c": 0})["c"]
+    known = some.where("word is not null").orderBy(F.desc("c"), "word")
+    top = known.limit(most + 1).collect()
+    least = top[TELLING - 1].c if len(top) >= TELLING else 0
+    open_ = [bytes(r.word) for r in top if r.c + short >= least]
+    if not short or (short < least and len(open_) <= most):
+        return open_[:most]
+    return [bytes(r.word) for r in _totals(texts, None).orderBy(F.desc("c"), "word").limit(TELLING).collect()]
+
+
+def learn_kinds(texts: DataFrame) -> Kinds:
+    """Kinds from all texts: the words that are frequent, which of them meet, and anchors that hardly do.
+
+    All counts are exact. Each part of a task sends at most 16 * TELLING words, then each task that many counts squared.
+    """
+    words = candidates(texts)
     if not words:
         return Kinds([], np.zeros((1, 0)))
     index, m = {w: i for i, w in enumerate(words)}, len(words)
 
     def meetings(rows):
-        total = np.zeros((m, m), np.int64)
+        total, uses = np.zeros((m, m), np.int64), np.zeros(m, np.int64)
         for t in rows:
-            here = np.zeros(m, np.int64)
-            here[[index[w] for w in set(tokens(t)) & index.keys()]] = 1
-            some = np.flatnonzero(here)
+            found = [i for w in tokens(t) if (i := index.get(w)) is not None]
+            uses += np.bincount(found, minlength=m) if found else 0
+            some = np.unique(np.array(found, np.int64))
             total[np.ix_(some, some)] += 1
         i, j = np.nonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "n"])
+        own = np.flatnonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, own)), pa.array(np.append(j, np.full(len(own), -1))), pa.array(np.append(total[i, j], uses[own]))], ["i", "j", "n"])
 
-    met = np.zeros((m, m))
+    met, uses = np.zeros((m, m)), np.zeros(m, np.int64)
     for r in _partial(texts, "i long, j long, n long", meetings).groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        met[r.i, r.j] = r.n
+        if r.j < 0:
+            uses[r.i] = r.n
+        else:
+            met[r.i, r.j] = r.n
+    order = sorted(range(m), key=lambda i: (-uses[i], words[i]))[:TELLING]
+    words, met = [words[i] for i in order], met[np.ix_(order, order)]
     own = np.maximum(met.diagonal(), 1)
     close = met / np.minimum.outer(own, own)
     anchors = [0]

@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from graphloom.llm.lattice import Pieces, default_model, expected, history, load_pieces, op10, score_documents, spelling
+from graphloom.llm import lattice
+from graphloom.llm.lattice import Pieces, default_model, expected, history, learn_kinds, load_pieces, op10, score_documents, spelling
 
 SF = "/root/testdata/sf0.01"
 
@@ -79,3 +80,17 @@ def test_repetition_is_likelier_and_odd_rows_have_scores(spark):
     alone = score_documents(docs, docs.limit(0), default_model()).collect()
     assert len(alone) == len(rows) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in alone)
     assert score_documents(docs.limit(0), docs, default_model()).collect() == []
+
+
+@pytest.mark.parametrize("most", [4, 64])
+def test_telling_words_are_exact(spark, monkeypatch, most):
+    # Words that are nowhere among the first of a part, and in total among the first of all.
+    monkeypatch.setattr(lattice, "FLUSH", 300)
+    monkeypatch.setattr(lattice, "TELLING", most)
+    rnd = np.random.default_rng(3)
+    rows = [" ".join([f"r{k}x{i}" for i in range(120) for _ in range(3)] + [f"w{i}" for i in rnd.integers(0, 90, 200)]) for k in range(40)]
+    want = Counter(w for t in rows for w in t.encode().split())
+    want = sorted(want, key=lambda w: (-want[w], w))[:most]
+    for parts in (1, 5):
+        df = spark.createDataFrame([(bytearray(t.encode()),) for t in rows], "t binary").repartition(parts)
+        assert list(learn_kinds(df).words) == want
