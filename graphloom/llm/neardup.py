@@ -28,7 +28,8 @@ pair is dropped by a cap. The centre is the member with the most bucket mates:
 a copied original meets all its copies, so what the others add to it is small.
 Buckets with the same members count once. Of a member with n > ``SAMPLE``
 shingles only those with hashes below SAMPLE / n of the range make finer
-buckets, and the comparison of numbers allows for ``SLACK`` of n: a pair that
+buckets, and the comparison of numbers allows for ``SLACK`` of n, also for
+members that such a one can be linked with (n > 3/4 SAMPLE): a pair that
 shares more of what c lacks is missed with probability exp(-3/4 SAMPLE * SLACK),
 1e-10.
 
@@ -238,7 +239,10 @@ def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
                     t = max(1, -(-(SIMILAR * len(x) - PER * shared) // PER))
                     prefix, slack = added[: max(0, len(added) - t + 1)], 0
                     if len(x) > SAMPLE:
-                        prefix, slack = prefix[prefix < np.uint64((SAMPLE << 64) // len(x))], int(SLACK * len(x)) + 1
+                        prefix = prefix[prefix < np.uint64((SAMPLE << 64) // len(x))]
+                    # A partner may be thinned: it has up to PER / SIMILAR of the size.
+                    if PER * len(x) > SIMILAR * SAMPLE:
+                        slack = int(SLACK * len(x)) + 1
                     with np.errstate(over="ignore"):
                         finer = mix(prefix ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
                     alone = int(PER * (shared + slack) >= SIMILAR * len(x))

@@ -65,6 +65,20 @@ def test_large_bucket_is_dealt_finer(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_partner_of_a_thinned_member_gets_slack(spark):
+    # The only shingle that x and y share outside of the centre is too large for y's buckets.
+    h = np.sort(np.random.default_rng(8).integers(0, 1 << 62, 1313, dtype=np.uint64))
+    top = np.array([(1 << 64) - 5], np.uint64)
+    x, y, c = np.concatenate((h[:999], top)), np.concatenate((h[:985], h[999:], top)), np.concatenate((h[:985], h[999:]))
+    assert len(x) == 1000 and len(y) == 1300 and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
+    sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in ((1, x), (2, y), (3, c))], "node long, h binary")
+    stars = spark.createDataFrame([(7, 3, 1, 1000, 1), (7, 3, 2, 1300, 1)], "key long, hub long, node long, n long, deg long")
+    rows = neardup.differences(stars, sets).collect()
+    buckets = {k: {r.bucket for r in rows if r.node == k and r.bucket is not None} for k in (1, 2)}
+    shared = {r.node: r.shared for r in rows if r.bucket is None}
+    assert buckets[1] & buckets[2] or 175 * min(shared[1], shared[2]) >= 75 * 2300
+
+
 def test_repeated_rows_nulls_and_empty_tables(spark):
     t = "a b c d e f g h"
     df = spark.createDataFrame([(2, t), (2, t), (1, t), (None, t), (None, None)], "doc_id long, text string")
