@@ -29,13 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: States, transitions and pieces each worker remembers before it starts anew.
-MAX_STATES, MAX_PIECES = 200_000, 700_000
+#: What a worker remembers, some 100 MB at most: states (about 350 bytes each) and arcs (150), pairs of tokens (150), and
+#: pieces in each of two generations (200).
+MAX_STATES, MAX_ARCS, MAX_FITS, MAX_PIECES = 90_000, 120_000, 120_000, 110_000
+
+
+def parse_ranks(packed: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, packed.splitlines()))}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
+        return parse_ranks(f.read())
 
 
 class Transducer:
@@ -55,16 +60,18 @@ class Transducer:
         self.ranks = ranks
         self.size = {i: len(b) for b, i in ranks.items()}
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.prefixes: set[bytes] = {b[:k] for b in ranks for k in range(1, len(b) + 1)}
+        #: Beginnings of tokens, numbered; a hypothesis is packed as (closed token + 1) << 32 | number.
+        self.names: list[bytes] = [b"", *{b[:k] for b in ranks for k in range(1, len(b) + 1)}]
+        self.prefixes = {b: i for i, b in enumerate(self.names)}
         self.spines: dict[int, tuple | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        start = ((-1, b""),)
-        self.ids: dict[tuple, int] = {start: 0}
-        self.states: list[tuple] = [start]
-        self.arcs: dict[int, tuple[int, int]] = {}
+        self.ids: dict[tuple[int, ...], int] = {(0,): 0}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        #: state << 8 | byte to target << 32 | (closed token + 1).
+        self.arcs: dict[int, int] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge, the last one, makes ``token``; None if merges never make it."""
@@ -100,40 +107,51 @@ class Transducer:
         It does unless a token at the border's left and one at its right live at
         the same time and their merge ranks before what ends either of them.
         """
-        key = (before, token)
+        key = before << 32 | token
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 4 * MAX_STATES:
+            if len(self.fits) >= MAX_FITS:
                 self.fits.clear()
-            right = self.spine(token)
-            if before < 0:
-                known = right is not None
-            else:
-                left = self.spine(before)
-                known = left is not None and right is not None and not any(
-                    max(born, birth) < min(end, until) and (rank := self.ranks.get(a + b)) is not None and rank < end and rank <= until
-                    for a, born, end in left[1]
-                    for b, birth, until in right[0]
-                )
-            self.fits[key] = known
+            known = self.fits[key] = self._can_follow(before, token)
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """One determinised transition: the next state, and the token that closes here (or -1)."""
-        grown, closed, tail = [], -1, bytes((byte,))
-        for last, open_ in self.states[state]:
-            open_ += tail
-            if open_ in self.prefixes:
-                grown.append((last, open_))
-                if closed < 0 and (token := self.ranks.get(open_)) is not None and self.can_follow(last, token):
-                    closed = token
-        if closed >= 0:
-            grown.append((closed, b""))
-        target = tuple(grown)
-        if target not in self.ids:
-            self.ids[target] = len(self.states)
-            self.states.append(target)
-        arc = self.arcs[state << 8 | byte] = (self.ids[target], closed)
+    def _can_follow(self, before: int, token: int) -> bool:
+        right = self.spine(token)
+        if before < 0 or right is None:
+            return right is not None
+        left = self.spine(before)
+        if left is None:
+            return False
+        rank_of = self.ranks.get
+        for a, born, end in left[1]:
+            for b, birth, until in right[0]:
+                if born < until and birth < end and born < end and birth < until:
+                    rank = rank_of(a + b)
+                    if rank is not None and rank < end and rank <= until:
+                        return False
+        return True
+
+    def step(self, state: int, byte: int) -> int:
+        """One determinised transition, packed: the next state, and the token that closes here, if one does."""
+        grown, closed, tail, number, names = [], 0, bytes((byte,)), self.prefixes.get, self.names
+        for packed in self.states[state]:
+            open_ = names[packed & 0xFFFFFFFF] + tail
+            at = number(open_)
+            if at is not None:
+                last = packed >> 32
+                grown.append(last << 32 | at)
+                if not closed:
+                    token = self.ranks.get(open_)
+                    if token is not None and self.can_follow(last - 1, token):
+                        closed = token + 1
+        if closed:
+            grown.append(closed << 32)
+        key = tuple(grown)
+        target = self.ids.get(key)
+        if target is None:
+            target = self.ids[key] = len(self.states)
+            self.states.append(key)
+        arc = self.arcs[state << 8 | byte] = target << 32 | closed
         return arc
 
     def _back(self, closes: list[int], end: int) -> list[int]:
@@ -149,15 +167,18 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        state, closes, done = 0, [], []
+        if len(self.states) > MAX_STATES or len(self.arcs) > MAX_ARCS:
             self.clear()
-        state, closes, done, arcs = 0, [], [], self.arcs
+        arcs = self.arcs
         for byte in piece:
             arc = arcs.get(state << 8 | byte)
-            state, token = arc if arc is not None else self.step(state, byte)
-            closes.append(token)
+            if arc is None:
+                arc = self.step(state, byte)
+            state = arc >> 32
+            closes.append((arc & 0xFFFFFFFF) - 1)
             if len(closes) == self.COMMIT:
-                paths = [self._back(closes, len(closes) - len(open_)) for _, open_ in self.states[state]]
+                paths = [self._back(closes, len(closes) - len(self.names[packed & 0xFFFFFFFF])) for packed in self.states[state]]
                 n = 0
                 while all(len(p) > n for p in paths) and len({p[n] for p in paths}) == 1:
                     n += 1
@@ -168,17 +189,20 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Piece to packed little-endian ids, filled by the transducer."""
+    """Piece to packed little-endian ids, filled by the transducer. Two generations: pieces in use outlive a full one."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -228,7 +252,7 @@ class Decoder:
         """(unfinished bytes, finished bytes) after ``token``."""
         key = (state, token)
         if key not in self.arcs:
-            if len(self.arcs) > MAX_STATES:
+            if len(self.arcs) > 4096:
                 self.arcs.clear()
             data = state + self.bytes_of[token]
             cut = utf8_split(data)
@@ -256,18 +280,24 @@ class Decoder:
             yield state
 
 
-#: By broadcast: a worker process keeps its transducer from task to task.
-_CODECS: dict[int, tuple[Encoder, Decoder]] = {}
+#: The codec of the vocabulary and pattern that a worker process saw last, from task to task; bounded by the limits above.
+_CODECS: dict[tuple[bytes, str], tuple[Encoder, Decoder]] = {}
 
 
-def _codec(blob, pattern: str) -> tuple[Encoder, Decoder]:
-    key = id(blob.value)
+def _codec(packed: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+    key = (hashlib.sha256(packed).digest(), pattern)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Encoder(blob.value, pattern), Decoder(blob.value)
+        ranks = parse_ranks(packed)
+        _CODECS[key] = Encoder(ranks, pattern), Decoder(ranks)
     return _CODECS[key]
 
 
+def _read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode each whole text and decode its ids again.
 
@@ -275,17 +305,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     ``decoded`` (binary: the bytes of the decoded ids). The rank file's bytes
     are read on the driver and travel with the function (under 1 MB).
     """
-    ranks = load_ranks(ranks_path)
-    blob = docs.sparkSession.sparkContext.broadcast(ranks)
+    blob = docs.sparkSession.sparkContext.broadcast(_read(ranks_path))
     picked = docs.select(id_col, *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = picked.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 
     def run(batches):
-        encoder, decoder = _codec(blob, pattern)
+        encoder, decoder = _codec(blob.value, pattern)
         for batch in batches:
             ids, decoded = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                row = np.frombuffer(encoder.encode(text), dtype="<u4")
+            for packed in map(encoder.encode, batch.column(batch.num_columns - 1).to_pylist()):
+                row = np.frombuffer(packed, dtype="<u4")
                 ids.append(row.astype(np.int32))
                 decoded.append(b"".join(decoder.stream([row])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], [*batch.schema.names[:-1], "ids", "decoded"])
@@ -298,17 +327,15 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     Columns: ``id_col``, ``keep``, n_tokens long, ids_sha256, decoded_sha256.
     """
-    ranks = load_ranks(ranks_path)
-    blob = docs.sparkSession.sparkContext.broadcast(ranks)
+    blob = docs.sparkSession.sparkContext.broadcast(_read(ranks_path))
     picked = docs.select(id_col, *keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     schema = picked.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        encoder, decoder = _codec(blob, pattern)
+        encoder, decoder = _codec(blob.value, pattern)
         for batch in batches:
             counts, ids_sha, out_sha = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                packed = encoder.encode(text)
+            for packed in map(encoder.encode, batch.column(batch.num_columns - 1).to_pylist()):
                 decoded = hashlib.sha256()
                 for done in decoder.stream([np.frombuffer(packed, dtype="<u4")]):
                     decoded.update(done)
