@@ -8,47 +8,43 @@ and not with their square. Every edge is confirmed on the full shingle sets.
 
 A star alone would lose a link between two members of which one fails against
 the centre. After the first stars nearly all true members of a bucket are in
-one component, so the bucket goes on without its centre: each member outside of
-its most frequent component is a centre in turn. That is linear where few are
-left over: buckets of one centre are taken together, and it is done at once
-where left-over members times members are at most ``GROUP_WORK``. In larger
-groups (a text with thousands of edited copies) the members are first dealt out
-by what the centre c lacks. All that two of them share lies in c or
-outside of it, so
-
-    |x & y| <= min(|x & c|, |y & c|) + |(x - c) & (y - c)|,
-
-and a link asks for |x & y| >= 3/7 (|x| + |y|). Either the first term alone is
-large enough, which a comparison of four numbers tells (those pairs are few and
-are confirmed), or both hold shingles that c lacks: t of them at least, hence
-one among the |x - c| - t + 1 smallest of x's (prefix filtering). These make
-finer buckets (done at once up to ``WORK``), with which the loop goes on until
-each is in one component. No
-pair is dropped by a cap. The centre is the member with the most bucket mates:
-a copied original meets all its copies, so what the others add to it is small.
-Buckets with the same members count once. Of a member with n > ``SAMPLE``
-shingles only those with hashes below SAMPLE / n of the range make finer
-buckets, and the comparison of numbers allows for ``SLACK`` of n, also for
-members that such a one can be linked with (n > 3/4 SAMPLE): a pair that
-shares more of what c lacks is missed with probability exp(-3/4 SAMPLE * SLACK),
-1e-10.
+one component; buckets of one centre c whose members are in several go on
+together, as a group without c. Let D be what c has and a member x lacks, A what
+x adds, E both together, and g = 4 |D| + 3 |A|. At 75 % x is linked with c
+exactly if g <= |c|, and x with y exactly if
+
+    7 |E_x & E_y| >= g_x + g_y - |c|.
+
+Two members in different components can't both be linked with c, so the right
+side is positive: linked ones share differences, at least g_y / 7 of them if y is
+linked with c, and at least (g_x - |c|) / 4 if x isn't. So a prefix of E in a
+common order (what is added first, since that is rare) makes finer buckets, and
+two members that meet in none of them aren't linked. Buckets in which the members outside
+of the main component times all members are at most ``WORK`` are compared at once, the
+others get a centre of their own and so on. Comparing means an upper bound of
+|E_x & E_y| by bit maps of ``BITS`` bits: only pairs that pass it are made, and these
+are confirmed on the full sets. No pair is dropped by a cap or a sample. The
+centre is the member with the most bucket mates. Buckets with the same members
+count once.
 
 A pair at similarity 0.75 shares no bucket with probability (1 - 0.75^4)^32,
 5e-6.
 
-A document is a doc_id; documents with equal sets are one node, named by their
-smallest id. Rows without an id, and rows without words, are linked with
-nothing; the former have a null component and are kept. Repeated rows get the
-same result. Rows that share an id but not a text share a component.
+Documents with equal sets are one node. Rows without an id, and rows without
+words, are linked with nothing; the former have a null component and are kept.
+Repeated rows get the same result. A document is a doc_id: rows that share one
+but not a text share a component, with all that any of them is linked with. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import stash, table
@@ -57,7 +53,8 @@ WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
-SAMPLE, SLACK, WORK, GROUP_WORK = 1024, 0.03, 1200, 20_000
+#: Comparisons that a bucket makes at once, and bits of a member's differences.
+WORK, BITS = 20_000, 512
 CACHE_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
@@ -157,14 +154,21 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, h): the full set of each node's document, as packed 64-bit hashes."""
+    """(node, h): the full set of each of ``nodes`` (node, rep, set_id), as packed 64-bit hashes; rep: a document that has it."""
     few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    picked = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("binary").alias("t"))
-    picked = picked.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    picked = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("binary").alias("t"))
+    picked = picked.join(F.broadcast(nodes) if few else nodes, "rep").select("node", "set_id", "t")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "h"])
+            node, own = [], []
+            for k, set_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                h = shingles(text).tobytes()
+                # An id may have other texts, too.
+                if hashlib.blake2b(h, digest_size=16).digest() == set_id:
+                    node.append(k)
+                    own.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own, pa.binary())], ["node", "h"])
 
     return picked.mapInArrow(run, "node long, h binary")
 
@@ -214,49 +218,57 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).union(roots.select("node", F.col("node").alias("label")))
 
 
-def differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """What members (key, hub, node, n, deg) add to their centres.
+_RELATED = ["bucket", "key", "node", "n", "deg", "nc", "g", "e", *(f"f{k}" for k in range(BITS // 64))]
 
-    Rows with a bucket: a finer bucket (key and a shingle that the centre lacks) of the node. Rows without: the
-    node's overlap with the centre, where that alone could make a link.
+
+def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """How members (key, hub, node, n, deg, direct) of groups differ from their centres.
+
+    A row for each bucket that the member goes on in: the group itself where ``direct``, else one for each difference in
+    its prefix. nc: the centre's size; g and e: as in the module's text; f: a bit map of the differences.
     """
     u = sets.select(F.col("node").alias("hub"), F.col("h").alias("hu"))
-    joined = stars.join(u, "hub").join(sets, "node").select("key", "node", "n", "deg", "hu", "h")
+    joined = groups.join(u, "hub").join(sets, "node").select("key", "node", "n", "deg", "direct", "hu", "h")
 
     def run(batches):
-        names = ["bucket", "key", "node", "n", "deg", "shared"]
         for batch in batches:
-            key, node, n, deg = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key, node, n, deg, direct = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             for start in range(0, batch.num_rows, 64):
-                cols: list[list] = [[], [], [], [], [], []]
-                none: list = []
+                buckets, counts, numbers, maps = [], [], [], []
                 for i in range(start, min(start + 64, batch.num_rows)):
-                    c, x = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
-                    at = np.minimum(np.searchsorted(c, x), len(c) - 1)
-                    added = x[c[at] != x]
-                    shared = len(x) - len(added)
-                    # A partner has at least SIMILAR / PER of the size, so this many added shingles are shared at least.
-                    t = max(1, -(-(SIMILAR * len(x) - PER * shared) // PER))
-                    prefix, slack = added[: max(0, len(added) - t + 1)], 0
-                    if len(x) > SAMPLE:
-                        prefix = prefix[prefix < np.uint64((SAMPLE << 64) // len(x))]
-                    # A partner may be thinned: it has up to PER / SIMILAR of the size.
-                    if PER * len(x) > SIMILAR * SAMPLE:
-                        slack = int(SLACK * len(x)) + 1
-                    with np.errstate(over="ignore"):
-                        finer = mix(prefix ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
-                    alone = int(PER * (shared + slack) >= SIMILAR * len(x))
-                    m = len(finer) + alone
-                    cols[0].append(np.append(finer, np.zeros(alone, np.int64)))
-                    none.append(np.arange(m) >= len(finer))
-                    for k, v in enumerate((key[i], node[i], n[i], deg[i], shared), 1):
-                        cols[k].append(np.full(m, v, np.int64))
-                    if alone:
-                        cols[5][-1][-1] += slack
-                rows = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], mask=np.concatenate(none)), *map(pa.array, rows[1:])], names)
-
-    return joined.mapInArrow(run, "bucket long, key long, node long, n long, deg long, shared long")
+                    c, x = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (5, 6))
+                    at = np.searchsorted(c, x)
+                    same = c[np.minimum(at, len(c) - 1)] == x
+                    lacking = np.ones(len(c), bool)
+                    lacking[at[same]] = False
+                    # The common order: what is added, then what is lacking, each by hash.
+                    differ = np.concatenate((x[~same], c[lacking]))
+                    e, g = len(differ), 3 * (len(x) - int(same.sum())) + 4 * int(lacking.sum())
+                    flags = np.zeros(BITS, bool)
+                    flags[(differ & np.uint64(BITS - 1)).astype(np.intp)] = True
+                    if direct[i]:
+                        finer = key[i : i + 1]
+                    else:
+                        least = g // 7 + 1 if g <= len(c) else max(1, -((len(c) - g) // 4))
+                        with np.errstate(over="ignore"):
+                            finer = mix(differ[: max(0, e - least + 1)] ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
+                    buckets.append(finer)
+                    counts.append(len(finer))
+                    numbers.append((key[i], node[i], n[i], deg[i], len(c), g, e))
+                    maps.append(np.packbits(flags).view(np.int64))
+                rows = np.repeat(np.concatenate((np.array(numbers, np.int64), np.stack(maps)), axis=1), counts, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(rows.shape[1]))], _RELATED)
+
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in _RELATED))
+
+
+def can_link(x: str, y: str) -> Column:
+    """Whether rows of :func:`differences` of one centre, their columns prefixed by ``x`` and ``y``, may be linked."""
+    def only(a: str, b: str) -> Column:
+        return functools.reduce(Column.__add__, [F.bit_count(F.col(f"{a}f{k}").bitwiseAND(F.bitwise_not(f"{b}f{k}"))) for k in range(BITS // 64)])
+
+    most = F.least(F.col(f"{x}e") - only(x, y), F.col(f"{y}e") - only(y, x))
+    return 7 * most >= F.col(f"{x}g") + F.col(f"{y}g") - F.col(f"{x}nc")
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
@@ -279,61 +291,64 @@ def similar_size(a: str, b: str):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
+    assert 7 * SIMILAR == 3 * (PER + SIMILAR), "the bounds of the module's text are those of 75 %"
     rows = stash(sketch(docs, id_col, text_col), "sketch")
     known = rows.where("set_id is not null and doc_id is not null")
-    classes = stash(known.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")), "classes")
-    # Every bucket list is a function of the set, so any row of the class serves: the one that names it.
-    named = known.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
-    members = named.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
+    classes = known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # Every bucket list is a function of the set, so any row of the class serves.
+    reps = classes.select("set_id", "node", F.col("rep").alias("doc_id"))
+    named = known.join(reps, ["set_id", "doc_id"]).dropDuplicates(["set_id"])
+    members = named.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket")).distinct()
     members = members.withColumn("label", F.col("node"))
     buckets = stash(members.join(mixed_buckets(members).select("bucket", "size"), "bucket").select("bucket", "node", "n", "size", "label"), "buckets")
     mates = buckets.groupBy("node").agg(F.sum("size").alias("deg"))
-    buckets = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg", "size", "label", F.lit(None).cast("long").alias("main"), F.lit(False).alias("direct"), F.lit(None).cast("long").alias("shared")), "buckets")
-    sets = stash(sets_of(docs, buckets.select("node").distinct(), id_col, text_col).dropDuplicates(["node"]), "sets")
-    labels = links = checked = extra = None
+    large = stash(buckets.join(mates, "node").select("bucket", F.lit(0).cast("long").alias("key"), "node", "n", "deg"), "buckets")
+    nodes = buckets.select("node").distinct().join(classes, "node").select("node", "rep", "set_id")
+    sets = stash(sets_of(docs, nodes, id_col, text_col).dropDuplicates(["node"]), "sets")
+    # Ids with several texts: their nodes are linked from the start.
+    torn = known.groupBy("doc_id").agg(F.min(F.xxhash64("set_id")).alias("lo"), F.max(F.xxhash64("set_id")).alias("hi")).where("lo < hi").select("doc_id")
+    torn = known.select("doc_id", "set_id").join(torn, "doc_id").distinct().join(classes, "set_id").select("doc_id", "node")
+    links = stash(torn.join(torn.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").select("u", F.col("node").alias("v")).where("u < v"), "links")
+    labels = links.select(F.col("u").alias("node"), F.col("u").alias("label")) if links.isEmpty() else components(links)
+    small, checked = None, []
     while True:
-        # Members outside of the main component, each a centre where they are few.
-        small = buckets.where("direct")
-        loose = small.where("label <> main").select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("label").alias("hub_label"), F.col("shared").alias("hs"))
-        # What two members can share at most: in the last centre, and outside of it.
-        most = F.least("hs", "shared") + F.least(F.col("nh") - F.col("hs"), F.col("n") - F.col("shared"))
-        can = F.coalesce((PER + SIMILAR) * most >= SIMILAR * (F.col("nh") + F.col("n")), F.lit(True))
-        pairs = small.join(loose, "bucket").where("label <> hub_label").where(similar_size("nh", "n") & can)
-        pairs = pairs.select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
-        # One centre for each of the others.
-        large = buckets.where("not direct")
+        # One centre for each large bucket.
         hubs = large.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct("deg", -F.col("node"))).alias("c"))
         stars = large.join(hubs.select("bucket", F.col("c.node").alias("hub"), F.col("c.n").alias("nh")), "bucket").where("node <> hub")
-        pairs = pairs.union(stars.where(similar_size("nh", "n")).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")))
-        pairs = (pairs if extra is None else pairs.union(extra)).distinct()
-        pairs = stash(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"), "pairs")
-        checked = pairs if checked is None else stash(checked.union(pairs), "checked")
-        found = stash(confirm(pairs, sets), "confirmed")
+        pairs = stars.where(similar_size("nh", "n")).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
+        if small is not None:
+            # The small ones at once: members outside of the main component against all that they may be linked with.
+            loose = small.where("label <> main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *_RELATED[5:])))
+            met = small.join(loose, "bucket").where((F.col("label") != F.col("x_label")) & similar_size("n", "x_n") & can_link("x_", ""))
+            pairs = pairs.union(met.select(F.least("node", "x_node").alias("u"), F.greatest("node", "x_node").alias("v")))
+        pairs = pairs.distinct()
+        if checked:
+            pairs = pairs.join(functools.reduce(DataFrame.union, checked), ["u", "v"], "left_anti")
+        found = stash(confirm(stash(pairs, "pairs"), sets), "confirmed")
+        checked.append(found.select("u", "v"))
         new = found.where("link").select("u", "v")
-        if labels is None or not new.isEmpty():
+        if not new.isEmpty():
             # The labels stand for all links so far.
-            labels = stash(components(new if links is None else links.union(new)), "labels")
+            labels = components(links.union(new))
             links = labels.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))
         # What is left: starred buckets whose members, without their centre, are in several components.
-        rest = stars.drop("label", "main", "size", "direct", "shared").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = rest.join(mixed_buckets(rest).select("bucket"), "bucket").withColumn("u", F.least("hub", "node")).withColumn("v", F.greatest("hub", "node"))
+        rest = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = rest.join(mixed_buckets(rest).select("bucket"), "bucket")
         # Buckets of one origin and centre are one group. A key names the centres so far, and its members are among
         # those of the key before without the new centre, so the loop ends.
-        group = rest.join(found.drop("link"), ["u", "v"], "left").select(F.xxhash64("key", "hub").alias("bucket"), "hub", "node", "n", "deg", "label", "shared").distinct()
-        group = stash(group.join(mixed_buckets(group), "bucket").withColumn("key", F.col("bucket")).withColumn("direct", F.col("work") <= GROUP_WORK), "groups")
-        parts = stash(differences(group.where("not direct"), sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        finer = parts.where("bucket is not null").select("bucket", "key", "node", "n", "deg", "label", "shared")
-        finer = finer.join(mixed_buckets(finer), "bucket").withColumn("direct", F.col("work") <= WORK)
-        columns = ("bucket", "key", "node", "n", "deg", "size", "label", "main", "direct", "shared")
-        buckets = stash(group.where("direct").select(*columns).union(finer.select(*columns)), "buckets")
-        x = parts.where("bucket is null").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shared").alias("su"), F.col("label").alias("lu"))
-        y = x.select("key", F.col("u").alias("v"), F.col("nu").alias("nv"), F.col("su").alias("sv"), F.col("lu").alias("lv"))
-        inside = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & ((PER + SIMILAR) * F.least("su", "sv") >= SIMILAR * (F.col("nu") + F.col("nv")))
-        extra = stash(x.join(y, "key").where(inside).select("u", "v").distinct(), "pairs")
-        if buckets.isEmpty() and extra.isEmpty():
+        group = rest.select(F.xxhash64("key", "hub").alias("bucket"), "hub", "node", "n", "deg", "label").distinct()
+        group = group.join(mixed_buckets(group), "bucket").select(F.col("bucket").alias("key"), "hub", "node", "n", "deg", (F.col("work") <= WORK).alias("direct"))
+        finer = stash(differences(stash(group, "groups"), sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        buckets = stash(finer.join(mixed_buckets(finer), "bucket").withColumn("direct", F.col("work") <= WORK), "buckets")
+        if buckets.isEmpty():
             break
+        small, large = buckets.where("direct"), buckets.where("not direct").select("bucket", "key", "node", "n", "deg")
 
-    named = classes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("component_id"))
+    # Components are named by their smallest id.
+    linked = stash(labels.join(classes, "node").select("set_id", "label", "rep"), "linked")
+    named = linked.join(linked.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("set_id", "component_id")
+    named = classes.select("set_id", "rep").join(named, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -54,29 +54,59 @@ def test_against_brute_force(spark):
 
 def test_large_bucket_is_dealt_finer(spark, monkeypatch):
     monkeypatch.setattr(neardup, "WORK", 8)
-    monkeypatch.setattr(neardup, "GROUP_WORK", 8)
-    monkeypatch.setattr(neardup, "SAMPLE", 100)
     rnd = random.Random(9)
     base = [f"w{rnd.randrange(4000)}" for _ in range(150)]
     rows = [(k, " ".join(f"n{rnd.randrange(99999)}" if rnd.random() < rnd.choice([0.01, 0.03, 0.05, 0.07]) else w for w in base)) for k in range(60)]
     # Copies of a far copy: linked with each other, but not with the original.
     far = [f"m{rnd.randrange(9999)}" if rnd.random() < 0.07 else w for w in base]
     rows += [(100 + k, " ".join(f"o{rnd.randrange(99999)}" if rnd.random() < 0.02 else w for w in far)) for k in range(12)]
+    # Cut and grown copies: what they lack, or add, is all that sets them apart.
+    rows += [(200 + k, " ".join(base[rnd.randrange(30) : 150 - rnd.randrange(30)])) for k in range(20)]
+    rows += [(300 + k, " ".join(base + [f"p{rnd.randrange(60)}" for _ in range(rnd.randrange(60))])) for k in range(20)]
     assert run(spark, rows) == brute(rows)
 
 
-def test_partner_of_a_thinned_member_gets_slack(spark):
-    # The only shingle that x and y share outside of the centre is too large for y's buckets.
-    h = np.sort(np.random.default_rng(8).integers(0, 1 << 62, 1313, dtype=np.uint64))
-    top = np.array([(1 << 64) - 5], np.uint64)
-    x, y, c = np.concatenate((h[:999], top)), np.concatenate((h[:985], h[999:], top)), np.concatenate((h[:985], h[999:]))
-    assert len(x) == 1000 and len(y) == 1300 and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))
-    sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in ((1, x), (2, y), (3, c))], "node long, h binary")
-    stars = spark.createDataFrame([(7, 3, 1, 1000, 1), (7, 3, 2, 1300, 1)], "key long, hub long, node long, n long, deg long")
-    rows = neardup.differences(stars, sets).collect()
-    buckets = {k: {r.bucket for r in rows if r.node == k and r.bucket is not None} for k in (1, 2)}
-    shared = {r.node: r.shared for r in rows if r.bucket is None}
-    assert buckets[1] & buckets[2] or 175 * min(shared[1], shared[2]) >= 75 * 2300
+def test_bounds_keep_every_link():
+    """Two members that are linked, but not both with the centre, share a prefix element and pass the bit maps."""
+    rnd = np.random.default_rng(3)
+    pool, met = rnd.integers(0, 1 << 63, 400, dtype=np.uint64), 0
+    for _ in range(3000):
+        c = rnd.choice(pool, 60, replace=False)
+        near = rnd.choice(pool, 8, replace=False)
+        x, y = (np.union1d(c[rnd.random(60) > rnd.choice([0.02, 0.1, 0.2])], near[rnd.random(8) < 0.7]) for _ in range(2))
+        if 100 * len(np.intersect1d(x, y)) < 75 * len(np.union1d(x, y)):
+            continue
+        parts = []
+        for z in (x, y):
+            added, lacking = np.setdiff1d(z, c), np.setdiff1d(c, z)
+            g, differ = 3 * len(added) + 4 * len(lacking), [*added, *lacking]
+            linked = 100 * len(np.intersect1d(z, c)) >= 75 * len(np.union1d(z, c))
+            assert linked == (g <= len(c))
+            least = g // 7 + 1 if linked else max(1, -((len(c) - g) // 4))
+            parts.append((linked, g, set(differ), set(differ[: max(0, len(differ) - least + 1)])))
+        if parts[0][0] and parts[1][0]:
+            continue
+        met += 1
+        assert parts[0][3] & parts[1][3]
+        assert 7 * len(parts[0][2] & parts[1][2]) >= parts[0][1] + parts[1][1] - len(c)
+    assert met > 20
+
+
+def test_thousands_of_edited_copies_make_few_pairs(spark, monkeypatch):
+    made, stash = [], neardup.stash
+    monkeypatch.setattr(neardup, "stash", lambda df, label, *a: made.append((label, out := stash(df, label, *a))) or out)
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(4000)}" for _ in range(120)]
+    rows = [(k, " ".join(f"n{rnd.randrange(99999)}" if rnd.random() < k % 10 / 100 else w for w in base)) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_duplicates(docs).count() == 1500
+    assert sum(df.count() for label, df in made if label == "pairs") < 20 * 1500
+
+
+def test_rows_that_share_an_id_share_a_component(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (7, a), (9, "u v w x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
 
 
 def test_repeated_rows_nulls_and_empty_tables(spark):
