@@ -17,9 +17,9 @@ exactly if g <= |c|, and x with y exactly if
 
 Two members in different components can't both be linked with c, so the right
 side is positive: linked ones share differences, at least g_y / 7 of them if y is
-linked with c, and at least (g_x - |c|) / 4 if x isn't. So a prefix of E in a
-common order (what is added first, since that is rare) makes finer buckets, and
-two members that meet in none of them aren't linked. Buckets in which the members outside
+linked with c, and at least (g_x - |c|) / 4 if x isn't; and of what x adds, at least
+3/4 |x| - |x & c|. So a prefix of E in a common order (what is added first, since that
+is rare) makes finer buckets, and two members that meet in none of them aren't linked. Buckets in which the members outside
 of the main component times all members are at most ``WORK`` are compared at once, the
 others get a centre of their own and so on. Comparing means an upper bound of
 |E_x & E_y| by bit maps of ``BITS`` bits: only pairs that pass it are made, and these
@@ -221,6 +221,16 @@ def components(edges: DataFrame) -> DataFrame:
 _RELATED = ["bucket", "key", "node", "n", "deg", "nc", "g", "e", *(f"f{k}" for k in range(BITS // 64))]
 
 
+def prefix(nc: int, shared: int, n: int) -> int:
+    """How many of a member's differences to its centre make buckets, of what is added first and then what is lacking."""
+    added, lacking = n - shared, nc - shared
+    g = 3 * added + 4 * lacking
+    length = added + lacking - (g // 7 + 1 if g <= nc else -((nc - g) // 4)) + 1
+    # A linked member shares SIMILAR / PER of n: so many of these at least are what both add.
+    both = -(-(SIMILAR * n - PER * shared) // PER)
+    return max(0, min(length, added - both + 1) if both > 0 else length)
+
+
 def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """How members (key, hub, node, n, deg, direct) of groups differ from their centres.
 
@@ -249,9 +259,8 @@ def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
                     if direct[i]:
                         finer = key[i : i + 1]
                     else:
-                        least = g // 7 + 1 if g <= len(c) else max(1, -((len(c) - g) // 4))
                         with np.errstate(over="ignore"):
-                            finer = mix(differ[: max(0, e - least + 1)] ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
+                            finer = mix(differ[: prefix(len(c), int(same.sum()), len(x))] ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
                     buckets.append(finer)
                     counts.append(len(finer))
                     numbers.append((key[i], node[i], n[i], deg[i], len(c), g, e))

@@ -82,8 +82,7 @@ def test_bounds_keep_every_link():
             g, differ = 3 * len(added) + 4 * len(lacking), [*added, *lacking]
             linked = 100 * len(np.intersect1d(z, c)) >= 75 * len(np.union1d(z, c))
             assert linked == (g <= len(c))
-            least = g // 7 + 1 if linked else max(1, -((len(c) - g) // 4))
-            parts.append((linked, g, set(differ), set(differ[: max(0, len(differ) - least + 1)])))
+            parts.append((linked, g, set(differ), set(differ[: neardup.prefix(len(c), len(z) - len(added), len(z))])))
         if parts[0][0] and parts[1][0]:
             continue
         met += 1
