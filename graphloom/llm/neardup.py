@@ -218,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).union(roots.select("node", F.col("node").alias("label")))
 
 
-_RELATED = ["bucket", "key", "node", "n", "deg", "nc", "g", "e", *(f"f{k}" for k in range(BITS // 64))]
+_RELATED = ["bucket", "key", "node", "n", "deg", "label", "nc", "g", "e", *(f"f{k}" for k in range(BITS // 64))]
 
 
 def prefix(nc: int, shared: int, n: int) -> int:
@@ -232,21 +232,21 @@ def prefix(nc: int, shared: int, n: int) -> int:
 
 
 def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """How members (key, hub, node, n, deg, direct) of groups differ from their centres.
+    """How members (key, hub, node, n, deg, label, direct) of groups differ from their centres.
 
     A row for each bucket that the member goes on in: the group itself where ``direct``, else one for each difference in
     its prefix. nc: the centre's size; g and e: as in the module's text; f: a bit map of the differences.
     """
     u = sets.select(F.col("node").alias("hub"), F.col("h").alias("hu"))
-    joined = groups.join(u, "hub").join(sets, "node").select("key", "node", "n", "deg", "direct", "hu", "h")
+    joined = groups.join(u, "hub").join(sets, "node").select("key", "node", "n", "deg", "label", "direct", "hu", "h")
 
     def run(batches):
         for batch in batches:
-            key, node, n, deg, direct = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            key, node, n, deg, label, direct = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             for start in range(0, batch.num_rows, 64):
                 buckets, counts, numbers, maps = [], [], [], []
                 for i in range(start, min(start + 64, batch.num_rows)):
-                    c, x = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (5, 6))
+                    c, x = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (6, 7))
                     at = np.searchsorted(c, x)
                     same = c[np.minimum(at, len(c) - 1)] == x
                     lacking = np.ones(len(c), bool)
@@ -263,7 +263,7 @@ def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
                             finer = mix(differ[: prefix(len(c), int(same.sum()), len(x))] ^ mix(key[i : i + 1].view(np.uint64))).view(np.int64)
                     buckets.append(finer)
                     counts.append(len(finer))
-                    numbers.append((key[i], node[i], n[i], deg[i], len(c), g, e))
+                    numbers.append((key[i], node[i], n[i], deg[i], label[i], len(c), g, e))
                     maps.append(np.packbits(flags).view(np.int64))
                 rows = np.repeat(np.concatenate((np.array(numbers, np.int64), np.stack(maps)), axis=1), counts, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(rows.shape[1]))], _RELATED)
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = stars.where(similar_size("nh", "n")).select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
         if small is not None:
             # The small ones at once: members outside of the main component against all that they may be linked with.
-            loose = small.where("label <> main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", *_RELATED[5:])))
+            loose = small.where("label <> main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", *_RELATED[5:])))
             met = small.join(loose, "bucket").where((F.col("label") != F.col("x_label")) & similar_size("n", "x_n") & can_link("x_", ""))
             pairs = pairs.union(met.select(F.least("node", "x_node").alias("u"), F.greatest("node", "x_node").alias("v")))
         pairs = pairs.distinct()
@@ -342,13 +342,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = components(links.union(new))
             links = labels.where("node <> label").select(F.col("label").alias("u"), F.col("node").alias("v"))
         # What is left: starred buckets whose members, without their centre, are in several components.
-        rest = stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        rest = stash(stars.select("bucket", "key", "hub", "node", "n", "deg").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
         rest = rest.join(mixed_buckets(rest).select("bucket"), "bucket")
         # Buckets of one origin and centre are one group. A key names the centres so far, and its members are among
         # those of the key before without the new centre, so the loop ends.
         group = rest.select(F.xxhash64("key", "hub").alias("bucket"), "hub", "node", "n", "deg", "label").distinct()
-        group = group.join(mixed_buckets(group), "bucket").select(F.col("bucket").alias("key"), "hub", "node", "n", "deg", (F.col("work") <= WORK).alias("direct"))
-        finer = stash(differences(stash(group, "groups"), sets), "differences").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        group = group.join(mixed_buckets(group), "bucket").select(F.col("bucket").alias("key"), "hub", "node", "n", "deg", "label", (F.col("work") <= WORK).alias("direct"))
+        finer = stash(differences(stash(group, "groups"), sets), "differences")
         buckets = stash(finer.join(mixed_buckets(finer), "bucket").withColumn("direct", F.col("work") <= WORK), "buckets")
         if buckets.isEmpty():
             break
