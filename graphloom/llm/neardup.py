@@ -54,7 +54,7 @@ WORDS, BINS, ROWS = 5, 128, 4
 SIMILAR, PER = 75, 100
 BROADCAST_ROWS = 500_000
 #: Comparisons that a bucket makes at once, and bits of a member's differences.
-WORK, BITS = 20_000, 512
+WORK, BITS = 1_000_000, 512
 CACHE_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
