@@ -18,8 +18,10 @@ no care: every row is encoded for itself.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
+import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a worker remembers, some 100 MB at most: states (about 350 bytes each) and arcs (150), pairs of tokens (150), and
-#: pieces in each of two generations (200).
-MAX_STATES, MAX_ARCS, MAX_FITS, MAX_PIECES = 90_000, 120_000, 120_000, 110_000
+#: What a worker remembers, some 150 MB at most: states (about 350 bytes each) and arcs (150), pairs of tokens (150), and
+#: pieces in each of two generations (200). It forgets all when it had no task for so many seconds.
+MAX_STATES, MAX_ARCS, MAX_FITS, MAX_PIECES, IDLE_SECONDS = 110_000, 170_000, 200_000, 150_000, 2.0
+#: Rows of an Arrow batch that are turned into Python objects at once.
+SLICE = 256
 
 
 def parse_ranks(packed: bytes) -> dict[bytes, int]:
@@ -280,17 +284,40 @@ class Decoder:
             yield state
 
 
-#: The codec of the vocabulary and pattern that a worker process saw last, from task to task; bounded by the limits above.
-_CODECS: dict[tuple[bytes, str], tuple[Encoder, Decoder]] = {}
+class Codecs:
+    """The codec of the vocabulary and pattern that a worker process saw last: kept from task to task, dropped when idle."""
 
+    def __init__(self):
+        self.key, self.codec, self.timer = None, None, None
 
-def _codec(packed: bytes, pattern: str) -> tuple[Encoder, Decoder]:
-    key = (hashlib.sha256(packed).digest(), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        ranks = parse_ranks(packed)
-        _CODECS[key] = Encoder(ranks, pattern), Decoder(ranks)
-    return _CODECS[key]
+    def take(self, packed: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+        if self.timer is not None:
+            self.timer.cancel()
+        key, codec = (hashlib.sha256(packed).digest(), pattern), self.codec
+        if codec is None or self.key != key:
+            ranks = parse_ranks(packed)
+            self.key, self.codec = key, (codec := (Encoder(ranks, pattern), Decoder(ranks)))
+        return codec
+
+    def give_back(self) -> None:
+        self.timer = threading.Timer(IDLE_SECONDS, self.drop)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def drop(self) -> None:
+        self.codec = None
+        gc.collect()
+
+
+_CODECS = Codecs()
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches, with their last column's texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            yield part, part.column(part.num_columns - 1).to_pylist()
 
 
 def _read(path: str) -> bytes:
@@ -310,14 +337,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = picked.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 
     def run(batches):
-        encoder, decoder = _codec(blob.value, pattern)
-        for batch in batches:
+        encoder, decoder = _CODECS.take(blob.value, pattern)
+        for batch, texts in _rows(batches):
             ids, decoded = [], []
-            for packed in map(encoder.encode, batch.column(batch.num_columns - 1).to_pylist()):
+            for packed in map(encoder.encode, texts):
                 row = np.frombuffer(packed, dtype="<u4")
                 ids.append(row.astype(np.int32))
                 decoded.append(b"".join(decoder.stream([row])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], [*batch.schema.names[:-1], "ids", "decoded"])
+        _CODECS.give_back()
 
     return picked.mapInArrow(run, schema)
 
@@ -332,10 +360,10 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = picked.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        encoder, decoder = _codec(blob.value, pattern)
-        for batch in batches:
+        encoder, decoder = _CODECS.take(blob.value, pattern)
+        for batch, texts in _rows(batches):
             counts, ids_sha, out_sha = [], [], []
-            for packed in map(encoder.encode, batch.column(batch.num_columns - 1).to_pylist()):
+            for packed in map(encoder.encode, texts):
                 decoded = hashlib.sha256()
                 for done in decoder.stream([np.frombuffer(packed, dtype="<u4")]):
                     decoded.update(done)
@@ -346,6 +374,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())],
                 [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        _CODECS.give_back()
 
     return picked.mapInArrow(run, schema)
 
