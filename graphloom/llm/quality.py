@@ -1,18 +1,23 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled 1. The unlabelled set is the sample of
-labelled documents with their labels hidden, which follows the corpus, and the
-class prior is estimated from that sample. A small network minimises the
-non-negative unbiased risk (Kiryo et al.) with the logistic loss, so its
-sigmoid estimates the probability of a good document.
-
-The fit uses at most ``MAX_SAMPLE`` labelled documents, those with the smallest
-hashes of their ids; every document is scored. Inputs of a score are the bytes
-of the whole text and nothing else.
+Trusted positives are documents labelled 1. The unlabelled set is drawn from all
+documents outside of the hold-out, labelled or not. The class prior is estimated
+from the two sets alone, labels of bad documents are never read: a first model
+tells positives from unlabelled documents, and the prior is the share of
+unlabelled ones among the scores that positives reach (the least ratio of the two
+distributions' upper tails; Blanchard et al., Ramaswamy et al.). A small network
+then minimises the non-negative unbiased risk (Kiryo et al.) with the logistic
+loss, so its sigmoid estimates the probability of a good document.
+
+The fit uses at most ``MAX_SAMPLE`` positives and as many unlabelled documents,
+those with the smallest hashes of their ids; every document is scored. Inputs of a
+score are the bytes of the whole text and nothing else.
 
 Null text counts as empty. A null id is in no fold's hold-out and never in the
-sample. A document labelled both ways is no trusted positive. Without any
-labelled positive the prior alone is the score.
+samples. A document labelled both ways is no trusted positive. Rows that repeat an
+id count once in a sample, by their smallest text. Without any labelled positive,
+as with an empty table, nothing can be learned: every score is 1, so that a filter
+keeps all rows.
 """
 
 from __future__ import annotations
@@ -69,17 +74,41 @@ class Model:
     def __init__(self, mean, scale, w1, b1, w2, b2):
         self.mean, self.scale, self.w1, self.b1, self.w2, self.b2 = mean, scale, w1, b1, w2, b2
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def logit(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return 1 / (1 + np.exp(-(np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2)))
+        return np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.logit(x)))
+
 
+def tail_ratio(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """An upper bound of the class prior: the least of (share of the unlabelled) / (share of the positives) above a score.
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, seed: int = SEED) -> Model:
-    """Minimise the non-negative PU risk. ``x`` holds all rows as unlabelled; ``positive`` marks the trusted ones."""
+    Only thresholds that three tenths of the positives or more reach are looked at, so that the bound isn't noise.
+    """
+    cuts = np.quantile(positive, np.linspace(0.0, 0.7, 91))
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
+    return float(np.clip((above(unlabelled) / np.maximum(above(positive), 1e-9)).min(), 0.02, 0.98))
+
+
+def fit_unknown_prior(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Model, float]:
+    """The prior by cross-fitting: each half's scores come from a model of the other half."""
+    p, u = [], []
+    for k in range(2):
+        first = fit(positive[k::2], unlabelled[k::2], 0.5)
+        p.append(first.logit(positive[1 - k :: 2]))
+        u.append(first.logit(unlabelled[1 - k :: 2]))
+    prior = tail_ratio(np.concatenate(p), np.concatenate(u))
+    return fit(positive, unlabelled, prior), prior
+
+
+def fit(positive: np.ndarray, x: np.ndarray, prior: float, seed: int = SEED) -> Model:
+    """Minimise the non-negative PU risk of trusted positives and unlabelled rows ``x``."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     u = np.clip((x - mean) / scale, -8, 8).astype(np.float64)
-    p = u[positive]
+    p = np.clip((positive - mean) / scale, -8, 8).astype(np.float64)
     w = [rng.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.array(np.log(prior / (1 - prior)))]
     m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
     sig = lambda f: 1 / (1 + np.exp(-f))
@@ -114,25 +143,30 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
-    """Fit on the labelled rows outside the hold-out, at most ``max_sample`` of them."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-    picked = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "t")
+    """Fit on documents outside of the hold-out: at most ``max_sample`` labelled good, and as many of all."""
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
+    free = remainder(F.col("doc_id"), FOLDS) != HELD_OUT
+    lowest = (F.xxhash64("doc_id"), F.col("doc_id"))
+    trusted = good.where(free).orderBy(*lowest).limit(max_sample).select("doc_id", F.lit(True).alias("good"))
+    drawn = docs.where(F.col("doc_id").isNotNull() & free).select("doc_id").distinct().orderBy(*lowest).limit(max_sample).select("doc_id", F.lit(False).alias("good"))
+    # Two times max_sample rows at most.
+    sample = trusted.union(drawn).groupBy("doc_id").agg(F.max("good").alias("good"), F.min("good").alias("both"))
+    sample = sample.select("doc_id", "good", (~F.col("both")).alias("drawn"))
+    picked = docs.select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(sample), "doc_id").select("doc_id", "good", "drawn", "t")
 
     def run(batches):
         for batch in batches:
-            packed = [r.tobytes() for r in feature_rows(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "quality", "x"])
-
-    rows = sorted((r.doc_id, r.quality, bytes(r.x)) for r in picked.mapInArrow(run, "doc_id long, quality long, x binary").collect())
-    x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, WIDTH)
-    good = np.array([r[1] == 1 for r in rows], bool)
-    if not good.any():
+            packed = [r.tobytes() for r in feature_rows(batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["doc_id", "good", "drawn", "x"])
+
+    found = picked.mapInArrow(run, "doc_id long, good boolean, drawn boolean, x binary").groupBy("doc_id", "good", "drawn").agg(F.min("x").alias("x"))
+    rows = sorted((r.doc_id, r.good, r.drawn, bytes(r.x)) for r in found.collect())
+    x = np.frombuffer(b"".join(r[3] for r in rows), np.float32).reshape(-1, WIDTH)
+    positive, unlabelled = x[[r[1] for r in rows]], x[[r[2] for r in rows]]
+    if len(positive) < 2 or len(unlabelled) < 2:
         constant = np.zeros(WIDTH)
-        return Model(constant, constant + 1, np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.array(0.0))
-    prior = float(np.clip(good.mean(), 0.01, 0.99))
-    return fit(x, good, prior)
+        return Model(constant, constant + 1, np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1), np.array(50.0))
+    return fit_unknown_prior(positive, unlabelled)[0]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

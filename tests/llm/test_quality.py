@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm.common import table
-from graphloom.llm.quality import THRESHOLD, WIDTH, features, feature_rows, fit, op9, score, train
+from graphloom.llm.quality import THRESHOLD, WIDTH, features, feature_rows, fit, fit_unknown_prior, op9, score, train
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,7 +32,7 @@ def test_odd_rows(spark):
     out = score(docs, train(docs, labels)).collect()
     assert len(out) == 6 and all(0 <= r.score <= 1 for r in out)
     none = train(docs, labels.limit(0))
-    assert {r.score for r in score(docs, none).collect()} == {0.5}
+    assert {r.score for r in score(docs, none).collect()} == {1.0}
     assert score(docs.limit(0), none).collect() == []
 
 
@@ -42,10 +42,46 @@ def test_nonnegative_risk_finds_positives_among_unlabelled():
     truth = rnd.random(600) < 0.6
     x[:, :4] = rnd.normal(0, 1, (600, 4)) + np.where(truth, 2.0, -2.0)[:, None]
     trusted = truth & (rnd.random(600) < 0.4)
-    s = fit(x, trusted, 0.6).score(x)
+    s = fit(x[trusted], x, 0.6).score(x)
     assert ((s > 0.5) == truth).mean() > 0.95
 
 
+def test_prior_is_found_without_labels_of_bad_rows():
+    rnd = np.random.default_rng(1)
+    for share in (0.3, 0.7, 0.9):
+        truth = rnd.random(3000) < share
+        x = np.zeros((3000, WIDTH), np.float32)
+        x[:, :4] = rnd.normal(0, 1, (3000, 4)) + np.where(truth, 1.5, -1.5)[:, None]
+        trusted = np.zeros((800, WIDTH), np.float32)
+        trusted[:, :4] = rnd.normal(1.5, 1, (800, 4))
+        model, prior = fit_unknown_prior(trusted, x)
+        assert abs(prior - share) < 0.08 and ((model.score(x) > 0.5) == truth).mean() > 0.95
+
+
+def test_labels_of_bad_documents_are_never_read(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    a, b = train(docs, labels), train(docs, labels.where("quality = 1"))
+    assert np.array_equal(a.w1, b.w1)
+
+
+def test_risk_equals_its_definition():
+    """The gradient steps of one epoch lower the non-negative risk, computed here term by term."""
+    rnd = np.random.default_rng(2)
+    truth = rnd.random(400) < 0.5
+    x = np.zeros((400, WIDTH), np.float32)
+    x[:, :3] = rnd.normal(0, 1, (400, 3)) + np.where(truth, 1.0, -1.0)[:, None]
+    p = x[truth][:100]
+
+    def risk(model):
+        fp, fu = model.logit(p), model.logit(x)
+        loss = lambda f, y: np.mean([np.log1p(np.exp(-y * v)) for v in f])
+        return 0.5 * loss(fp, 1) + max(0.0, loss(fu, -1) - 0.5 * loss(fp, -1))
+
+    flat = fit(p, x, 0.5)
+    zero = type(flat)(flat.mean, flat.scale, flat.w1 * 0, flat.b1, flat.w2, np.array(0.0))
+    assert risk(flat) < 0.6 * risk(zero)
+
+
 @pytest.mark.parametrize("text", [None, b"", b"\xff\xfe", b"a", b"\n\n\n", "é".encode() * 9])
 def test_features_have_one_shape(text):
     assert features(text).shape == (WIDTH,) and np.isfinite(feature_rows([text])).all()
