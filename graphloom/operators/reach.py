@@ -28,13 +28,16 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: list[str], expandable: Dat
 
     edges: (keys, src, dst). expandable: if given, (keys, node) from which paths go on; seeds always do.
     """
-    edges = edges.select(*keys, "src", "dst").distinct()
+    # Both are read again in every round: once computed, not every time.
+    edges = settle(edges.select(*keys, "src", "dst").distinct(), "edges")
+    if expandable is not None:
+        expandable = settle(expandable.select(*keys, "node").distinct(), "expandable")
     start = seeds.select(*keys, "seed", F.col("seed").alias("node")).distinct().withColumn("depth", F.lit(0))
     parts = [settle(start, "frontier")]
     frontier, rounds = parts[0], 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
-        out = frontier if expandable is None or rounds == 1 else frontier.join(expandable.select(*keys, "node"), [*keys, "node"], "left_semi")
+        out = frontier if expandable is None or rounds == 1 else frontier.join(expandable, [*keys, "node"], "left_semi")
         step = out.withColumnRenamed("node", "src").join(edges, [*keys, "src"]).select(*keys, "seed", F.col("dst").alias("node")).distinct()
         visited = reduce(DataFrame.unionByName, parts).select(*keys, "seed", "node")
         step = step.join(visited, [*keys, "seed", "node"], "left_anti").withColumn("depth", F.lit(rounds))
@@ -115,7 +118,7 @@ def shortest_paths(graph: Graph, sources: DataFrame, max_rounds: int | None = No
 
     Breadth-first order among equal lengths is the order of the sequences of edge ordinals.
     """
-    edges = graph.flow_edges().select("file", "src", "dst", "ord")
+    edges = settle(graph.flow_edges().select("file", "src", "dst", "ord"), "edges")
     start = sources.select("file", F.col("id").alias("seed"), F.col("id").alias("node"), F.array("id").alias("path"), F.array().cast("array<bigint>").alias("way"))
     parts = [settle(start, "paths")]
     frontier, rounds = parts[0], 0
@@ -218,25 +221,28 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def resolve_reexports(imports: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """R11: (from_file, name, origin): follow re-exports to the file that defines the name, by pointer jumping.
+def resolve_reexports(imports: DataFrame) -> DataFrame:
+    """R11: (from_file, name, origin): follow re-exports to the file that defines the name, a hop a round until nothing moves.
 
     imports: (from_file, to_file, name, is_reexport, line); '*' hands all names on. A
     cycle ends at the last file before it closes. Of several edges the first line counts.
     """
     hops = imports.where("is_reexport").groupBy(F.col("from_file").alias("via"), F.col("name").alias("hop_name")).agg(F.min_by("to_file", F.struct("line", "to_file")).alias("next"))
     now = imports.where("not is_reexport").select("from_file", "name", F.col("to_file").alias("at"), F.array("to_file").alias("seen"))
-    for _ in range(max_rounds):
+    done: list[DataFrame] = []
+    while True:
         exact = hops.select(F.col("via").alias("v1"), F.col("hop_name").alias("n1"), F.col("next").alias("x1"))
         star = hops.where("hop_name = '*'").select(F.col("via").alias("v2"), F.col("next").alias("x2"))
         step = now.join(exact, (F.col("at") == F.col("v1")) & (F.col("name") == F.col("n1")), "left").join(star, F.col("at") == F.col("v2"), "left")
         step = step.withColumn("to", F.coalesce("x1", "x2"))
         on = F.col("to").isNotNull() & ~F.array_contains("seen", F.col("to"))
         now = settle(step.select("from_file", "name", F.when(on, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(on, F.concat("seen", F.array("to"))).otherwise(F.col("seen")).alias("seen"), on.alias("moved")), "reexport")
-        if now.where("moved").isEmpty():
+        # What stays where it is has arrived; only the others go on.
+        done.append(now.where("not moved").select("from_file", "name", F.col("at").alias("origin")))
+        now = now.where("moved").drop("moved")
+        if now.isEmpty():
             break
-        now = now.drop("moved")
-    return now.select("from_file", "name", F.col("at").alias("origin"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def per_group_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

@@ -39,16 +39,16 @@ class _Reader(HTMLParser):
             self.found.append((kind, subtype, given.get("src") or given.get("href") or given.get("action") or given.get("name") or tag, line))
         for name, value in attrs:
             if name.startswith("on"):
-                self.found.append(("CONTROL", "event_handler", f"{name}={value or ''}"[:200], line))
+                self.found.append(("CONTROL", "event_handler", f"{name}={value or ''}", line))
             elif name == "style":
-                self.found.append(("META", "inline_style", (value or "")[:200], line))
+                self.found.append(("META", "inline_style", (value or ""), line))
 
     def handle_decl(self, decl):
-        self.found.append(("META", "doctype", decl[:200], self.getpos()[0]))
+        self.found.append(("META", "doctype", decl, self.getpos()[0]))
 
     def handle_comment(self, data):
         kind = "conditional_comment" if data.strip().startswith("[if") else "comment"
-        self.found.append(("META", kind, data.strip()[:200], self.getpos()[0]))
+        self.found.append(("META", kind, data.strip(), self.getpos()[0]))
 
 
 def read(source: str | None) -> list[tuple[str, str, str, int]]:

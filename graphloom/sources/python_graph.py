@@ -73,7 +73,7 @@ class _Walker(ast.NodeVisitor):
         self.n += 1
         name = f"n{self.n}"
         code = ast.get_source_segment(self.source, tree) or ""
-        self._row(kind="node", id=name, sequence=self.n, node_type=node_type, node_subtype=subtype, label=label, line_start=tree.lineno, line_end=tree.end_lineno, code_snapshot=code[:2000])
+        self._row(kind="node", id=name, sequence=self.n, node_type=node_type, node_subtype=subtype, label=label, line_start=tree.lineno, line_end=tree.end_lineno, code_snapshot=code)
         if self.scopes[-1][0]:
             self._row(kind="edge", src=self.scopes[-1][0], dst=name, edge_type="CONTAINS")
         return name

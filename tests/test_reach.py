@@ -97,3 +97,9 @@ def test_reexports_stop_at_a_cycle(spark):
     rows = [("a", "b", "x", False, 1), ("b", "c", "*", True, 1), ("c", "d", "x", True, 2), ("d", "b", "*", True, 1)]
     imports = spark.createDataFrame(rows, "from_file string, to_file string, name string, is_reexport boolean, line int")
     assert [(r.from_file, r.origin) for r in reach.resolve_reexports(imports).collect()] == [("a", "d")]
+
+
+def test_reexports_follow_long_chains(spark):
+    rows = [("a", "f0", "x", False, 1), *((f"f{k}", f"f{k + 1}", "x", True, 1) for k in range(53))]
+    imports = spark.createDataFrame(rows, "from_file string, to_file string, name string, is_reexport boolean, line int")
+    assert [(r.from_file, r.origin) for r in reach.resolve_reexports(imports).collect()] == [("a", "f53")]
