@@ -18,7 +18,6 @@ no care: every row is encoded for itself.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import struct
 import threading
@@ -31,9 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What a worker remembers, some 150 MB at most: states (about 350 bytes each) and arcs (150), pairs of tokens (150), and
-#: pieces in each of two generations (200). It forgets all when it had no task for so many seconds.
-MAX_STATES, MAX_ARCS, MAX_FITS, MAX_PIECES, IDLE_SECONDS = 110_000, 170_000, 200_000, 150_000, 2.0
+from graphloom.llm.common import give_back_memory, table
+
+#: What a worker remembers, in MB, and for how many idle seconds. More of it saves time, results are the same.
+CACHE_MB, IDLE_SECONDS = 320, 2.0
+#: Entries a MB of cache has room for: states (about 350 bytes each), arcs (150), pairs of tokens (150), and pieces in each
+#: of two generations (200).
+STATES, ARCS, FITS, PIECES = 730, 1130, 1330, 1000
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE = 256
 
@@ -60,8 +63,8 @@ class Transducer:
     #: Bytes between two commits within one piece.
     COMMIT = 256
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], cache_mb: int = CACHE_MB):
+        self.ranks, self.cache_mb = ranks, cache_mb
         self.size = {i: len(b) for b, i in ranks.items()}
         self.bytes_of = {i: b for b, i in ranks.items()}
         #: Beginnings of tokens, numbered; a hypothesis is packed as (closed token + 1) << 32 | number.
@@ -114,7 +117,7 @@ class Transducer:
         key = before << 32 | token
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= MAX_FITS:
+            if len(self.fits) >= FITS * self.cache_mb:
                 self.fits.clear()
             known = self.fits[key] = self._can_follow(before, token)
         return known
@@ -172,7 +175,7 @@ class Transducer:
         if whole is not None:
             return [whole]
         state, closes, done = 0, [], []
-        if len(self.states) > MAX_STATES or len(self.arcs) > MAX_ARCS:
+        if len(self.states) > STATES * self.cache_mb or len(self.arcs) > ARCS * self.cache_mb:
             self.clear()
         arcs = self.arcs
         for byte in piece:
@@ -197,7 +200,7 @@ class Pieces(dict):
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer, self.older = transducer, {}
+        self.transducer, self.older, self.most = transducer, {}, PIECES * transducer.cache_mb
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
@@ -205,7 +208,7 @@ class Pieces(dict):
             ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
@@ -213,8 +216,8 @@ class Pieces(dict):
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_mb: int = CACHE_MB):
+        self.transducer = Transducer(ranks, cache_mb)
         self.split = regex.compile(pattern).findall
         self.pieces = Pieces(self.transducer)
 
@@ -290,13 +293,13 @@ class Codecs:
     def __init__(self):
         self.key, self.codec, self.timer = None, None, None
 
-    def take(self, packed: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+    def take(self, packed: bytes, pattern: str, cache_mb: int) -> tuple[Encoder, Decoder]:
         if self.timer is not None:
             self.timer.cancel()
-        key, codec = (hashlib.sha256(packed).digest(), pattern), self.codec
+        key, codec = (hashlib.sha256(packed).digest(), pattern, cache_mb), self.codec
         if codec is None or self.key != key:
             ranks = parse_ranks(packed)
-            self.key, self.codec = key, (codec := (Encoder(ranks, pattern), Decoder(ranks)))
+            self.key, self.codec = key, (codec := (Encoder(ranks, pattern, cache_mb), Decoder(ranks)))
         return codec
 
     def give_back(self) -> None:
@@ -306,7 +309,7 @@ class Codecs:
 
     def drop(self) -> None:
         self.codec = None
-        gc.collect()
+        give_back_memory()
 
 
 _CODECS = Codecs()
@@ -325,7 +328,7 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cache_mb: int = CACHE_MB) -> DataFrame:
     """Encode each whole text and decode its ids again.
 
     Returns ``id_col``, the ``keep`` columns, ``ids`` (array of int) and
@@ -337,7 +340,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = picked.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 
     def run(batches):
-        encoder, decoder = _CODECS.take(blob.value, pattern)
+        encoder, decoder = _CODECS.take(blob.value, pattern, cache_mb)
         for batch, texts in _rows(batches):
             ids, decoded = [], []
             for packed in map(encoder.encode, texts):
@@ -350,7 +353,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     return picked.mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cache_mb: int = CACHE_MB) -> DataFrame:
     """As :func:`encode_documents`, but the ids and bytes leave the worker as digests only.
 
     Columns: ``id_col``, ``keep``, n_tokens long, ids_sha256, decoded_sha256.
@@ -360,7 +363,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = picked.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):
-        encoder, decoder = _CODECS.take(blob.value, pattern)
+        encoder, decoder = _CODECS.take(blob.value, pattern, cache_mb)
         for batch, texts in _rows(batches):
             counts, ids_sha, out_sha = [], [], []
             for packed in map(encoder.encode, texts):
@@ -387,6 +390,4 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.llm.common import table
-
     return digest_documents(table(spark, sf_dir, "documents"), *default_vocabulary())

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import stash, table
+from graphloom.llm.common import give_back_memory, stash, table
 
 WORDS, BINS, ROWS = 5, 128, 4
 #: A link: PER * intersection >= SIMILAR * union.
@@ -149,6 +149,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 ids.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 lists.append(bands(signature(h)) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "buckets"])
+        _HASHES.clear()
+        give_back_memory()
 
     return picked.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, set_id binary, buckets array<long>")
 
@@ -169,6 +171,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
                     node.append(k)
                     own.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own, pa.binary())], ["node", "h"])
+        _HASHES.clear()
+        give_back_memory()
 
     return picked.mapInArrow(run, "node long, h binary")
 

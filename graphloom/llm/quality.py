@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import give_back_memory, table
 
 MAX_SAMPLE, THRESHOLD, FOLDS, HELD_OUT = 20_000, 0.7, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 48, 60, 512, 3e-3, 1e-3, 11
@@ -179,6 +179,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             x = feature_rows(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blob.value.score(x), pa.float64())], [*batch.schema.names[:-1], "score"])
+        give_back_memory()
 
     return picked.mapInArrow(run, schema)
 
