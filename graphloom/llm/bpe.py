@@ -21,6 +21,7 @@ import base64
 import hashlib
 import struct
 import threading
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -67,9 +68,21 @@ class Transducer:
         self.ranks, self.cache_mb = ranks, cache_mb
         self.size = {i: len(b) for b, i in ranks.items()}
         self.bytes_of = {i: b for b, i in ranks.items()}
-        #: Beginnings of tokens, numbered; a hypothesis is packed as (closed token + 1) << 32 | number.
-        self.names: list[bytes] = [b"", *{b[:k] for b in ranks for k in range(1, len(b) + 1)}]
-        self.prefixes = {b: i for i, b in enumerate(self.names)}
+        #: The trie of tokens: number << 8 | byte to number, and each number's token (-1: none) and depth. A hypothesis is
+        #: packed as (closed token + 1) << 32 | number.
+        self.child: dict[int, int] = {}
+        self.token_at, self.depth = array("q", [-1]), array("L", [0])
+        for b, i in ranks.items():
+            at = 0
+            for byte in b:
+                below = self.child.get(at << 8 | byte)
+                if below is None:
+                    below = self.child[at << 8 | byte] = len(self.depth)
+                    self.token_at.append(-1)
+                    self.depth.append(self.depth[at] + 1)
+                at = below
+            if at:
+                self.token_at[at] = i
         self.spines: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
         self.clear()
@@ -140,16 +153,15 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> int:
         """One determinised transition, packed: the next state, and the token that closes here, if one does."""
-        grown, closed, tail, number, names = [], 0, bytes((byte,)), self.prefixes.get, self.names
+        grown, closed, child, token_at = [], 0, self.child.get, self.token_at
         for packed in self.states[state]:
-            open_ = names[packed & 0xFFFFFFFF] + tail
-            at = number(open_)
+            here = packed & 0xFFFFFFFF
+            at = child(here << 8 | byte)
             if at is not None:
-                last = packed >> 32
-                grown.append(last << 32 | at)
+                grown.append(packed - here + at)
                 if not closed:
-                    token = self.ranks.get(open_)
-                    if token is not None and self.can_follow(last - 1, token):
+                    token = token_at[at]
+                    if token >= 0 and self.can_follow((packed >> 32) - 1, token):
                         closed = token + 1
         if closed:
             grown.append(closed << 32)
@@ -185,7 +197,7 @@ class Transducer:
             state = arc >> 32
             closes.append((arc & 0xFFFFFFFF) - 1)
             if len(closes) == self.COMMIT:
-                paths = [self._back(closes, len(closes) - len(self.names[packed & 0xFFFFFFFF])) for packed in self.states[state]]
+                paths = [self._back(closes, len(closes) - self.depth[packed & 0xFFFFFFFF]) for packed in self.states[state]]
                 n = 0
                 while all(len(p) > n for p in paths) and len({p[n] for p in paths}) == 1:
                     n += 1
