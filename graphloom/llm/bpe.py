@@ -35,9 +35,11 @@ from graphloom.llm.common import give_back_memory, table
 
 #: What a worker remembers, in MB, and for how many idle seconds. More of it saves time, results are the same.
 CACHE_MB, IDLE_SECONDS = 320, 2.0
-#: Entries a MB of cache has room for: states (about 350 bytes each), arcs (150), pairs of tokens (150), and pieces in each
+#: Entries a MB of cache has room for: states (about 600 bytes each), arcs (150), pairs of tokens (150), and pieces in each
 #: of two generations (200).
-STATES, ARCS, FITS, PIECES = 730, 1130, 1330, 1000
+STATES, ARCS, FITS, PIECES = 600, 1000, 1000, 900
+#: Marks in the table of halves: not looked up yet, a single byte, never made by merges.
+UNKNOWN, BYTE, NEVER = -1, -2, -3
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE = 256
 
@@ -54,11 +56,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one piece in, token ids out.
 
-    A hypothesis is (the token closed last, the bytes of the open token). A
-    state is the set of hypotheses alive after a byte; an arc's label is the
-    token that closes at that byte, of which there is at most one because the
+    A hypothesis is (the trie node of the open token's bytes, the token closed
+    last). A state is the set of hypotheses alive after a byte; an arc's label is
+    the token that closes at that byte, of which there is at most one because the
     encoding of a prefix is unique. Tokens are committed as soon as all live
     hypotheses lead back through them.
+
+    A piece follows the arcs that are there and adds one where they end. The sets
+    behind that one are stepped without numbers, up to the next commit: most tails
+    are seen once, and frequent ones get their arcs as they come again.
     """
 
     #: Bytes between two commits within one piece.
@@ -66,66 +72,63 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], cache_mb: int = CACHE_MB):
         self.ranks, self.cache_mb = ranks, cache_mb
-        self.size = {i: len(b) for b, i in ranks.items()}
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        #: The trie of tokens: number << 8 | byte to number, and each number's token (-1: none) and depth. A hypothesis is
-        #: packed as (closed token + 1) << 32 | number.
+        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            self.bytes_of[i] = b
+        #: The trie of tokens: node | byte to the child's node. A node is 256 times a number: 0 is the root's, 1 + id a
+        #: token's, and greater ones those of nodes that are no tokens, with the depth of each.
         self.child: dict[int, int] = {}
-        self.token_at, self.depth = array("q", [-1]), array("L", [0])
+        self.inner = len(self.bytes_of) + 1 << 8
+        self.inner_depth = array("L")
         for b, i in ranks.items():
-            at = 0
-            for byte in b:
-                below = self.child.get(at << 8 | byte)
+            here = 0
+            for n in range(1, len(b) + 1):
+                below = self.child.get(here | b[n - 1])
                 if below is None:
-                    below = self.child[at << 8 | byte] = len(self.depth)
-                    self.token_at.append(-1)
-                    self.depth.append(self.depth[at] + 1)
-                at = below
-            if at:
-                self.token_at[at] = i
-        self.spines: dict[int, tuple | None] = {}
+                    token = ranks.get(b[:n])
+                    if token is None:
+                        below = self.inner + (len(self.inner_depth) << 8)
+                        self.inner_depth.append(n)
+                    else:
+                        below = 1 + token << 8
+                    self.child[here | b[n - 1]] = below
+                here = below
+        #: The two tokens whose merge makes a token; the left one may be a mark.
+        self.left, self.right = (array("q", [UNKNOWN]) * len(self.bytes_of) for _ in range(2))
         self.fits: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[tuple[int, ...], int] = {(0,): 0}
-        self.states: list[tuple[int, ...]] = [(0,)]
+        self.ids: dict[tuple, int] = {((0, -1),): 0}
+        self.states: list[tuple] = [((0, -1),)]
         #: state << 8 | byte to target << 32 | (closed token + 1).
         self.arcs: dict[int, int] = {}
 
-    def halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge, the last one, makes ``token``; None if merges never make it."""
-        data = self.bytes_of[token]
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 2:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                return None
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return self.ranks[parts[0]], self.ranks[parts[1]]
-
-    def spine(self, token: int) -> tuple | None:
-        """(left edge, right edge): (bytes, birth, end) of each token that ever stands at that edge of ``token``."""
-        if token not in self.spines:
+    def halve(self, token: int) -> int:
+        """The left one of the two tokens whose merge, the last one, makes ``token``, or a mark; the right one is noted too."""
+        found = self.left[token]
+        if found == UNKNOWN:
             data = self.bytes_of[token]
-            if len(data) == 1:
-                edge = ((data, -1, 1 << 60),)
-                self.spines[token] = (edge, edge)
+            parts = [data[i : i + 1] for i in range(len(data))]
+            rank = 0
+            while len(parts) > 2 and rank < 1 << 60:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank < 1 << 60:
+                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if len(parts) == 2:
+                found, self.right[token] = self.ranks[parts[0]], self.ranks[parts[1]]
             else:
-                split = self.halves(token)
-                below = split and (self.spine(split[0]), self.spine(split[1]))
-                if not below or None in below:
-                    self.spines[token] = None
-                else:
-                    own, cut = (data, token, 1 << 60), lambda edge: ((edge[0][0], edge[0][1], token), *edge[1:])
-                    self.spines[token] = ((own, *cut(below[0][0])), (own, *cut(below[1][1])))
-        return self.spines[token]
+                found = BYTE if len(parts) == 1 else NEVER
+            self.left[token] = found
+        return found
 
     def can_follow(self, before: int, token: int) -> bool:
         """Whether merging leaves the border between the two tokens alone.
 
-        It does unless a token at the border's left and one at its right live at
-        the same time and their merge ranks before what ends either of them.
+        Time runs backwards here: of the two tokens at the border, the younger one (of the
+        same age, the right one, since merges go from left to right) falls into its halves,
+        until two bytes are left. Had two that stood there together merged before that
+        moment, the border would be gone.
         """
         key = before << 32 | token
         known = self.fits.get(key)
@@ -136,49 +139,60 @@ class Transducer:
         return known
 
     def _can_follow(self, before: int, token: int) -> bool:
-        right = self.spine(token)
-        if before < 0 or right is None:
-            return right is not None
-        left = self.spine(before)
-        if left is None:
+        if self.halve(token) == NEVER:
             return False
-        rank_of = self.ranks.get
-        for a, born, end in left[1]:
-            for b, birth, until in right[0]:
-                if born < until and birth < end and born < end and birth < until:
-                    rank = rank_of(a + b)
-                    if rank is not None and rank < end and rank <= until:
-                        return False
-        return True
-
-    def step(self, state: int, byte: int) -> int:
-        """One determinised transition, packed: the next state, and the token that closes here, if one does."""
-        grown, closed, child, token_at = [], 0, self.child.get, self.token_at
-        for packed in self.states[state]:
-            here = packed & 0xFFFFFFFF
-            at = child(here << 8 | byte)
-            if at is not None:
-                grown.append(packed - here + at)
-                if not closed:
-                    token = token_at[at]
-                    if token >= 0 and self.can_follow((packed >> 32) - 1, token):
-                        closed = token + 1
-        if closed:
-            grown.append(closed << 32)
-        key = tuple(grown)
-        target = self.ids.get(key)
-        if target is None:
-            target = self.ids[key] = len(self.states)
+        if before < 0:
+            return True
+        if self.halve(before) == NEVER:
+            return False
+        rank_of, name, moment = self.ranks.get, self.bytes_of, 1 << 60
+        while True:
+            rank = rank_of(name[before] + name[token])
+            if rank is not None and rank < moment:
+                return False
+            old, new = self.halve(before), self.halve(token)
+            if old != BYTE and (new == BYTE or before > token):
+                before, moment = self.right[before], before
+            elif new != BYTE:
+                token, moment = new, token + 1
+            else:
+                return True
+
+    def step(self, live: Iterable[tuple[int, int]], byte: int) -> tuple[list[tuple[int, int]], int]:
+        """The hypotheses alive after one more byte, and the token that closes there (-1: none)."""
+        child, inner, fits, closed = self.child.get, self.inner, self.fits.get, -1
+        grown = [(node, before) for here, before in live if (node := child(here | byte))]
+        for node, before in grown:
+            if node < inner:
+                token = (node >> 8) - 1
+                known = fits(before << 32 | token)
+                if known or known is None and self.can_follow(before, token):
+                    closed = token
+                    grown.append((0, closed))
+                    break
+        return grown, closed
+
+    def depth(self, node: int) -> int:
+        """How many bytes lead to a node."""
+        if node < self.inner:
+            return len(self.bytes_of[(node >> 8) - 1]) if node else 0
+        return self.inner_depth[(node - self.inner) >> 8]
+
+    def number(self, live: Iterable[tuple[int, int]]) -> int:
+        """The state of these hypotheses."""
+        key = tuple(live)
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.states)
             self.states.append(key)
-        arc = self.arcs[state << 8 | byte] = target << 32 | closed
-        return arc
+        return found
 
     def _back(self, closes: list[int], end: int) -> list[int]:
         """The tokens that end at byte ``end``, first one first."""
         out = []
         while end:
             out.append(token := closes[end - 1])
-            end -= self.size[token]
+            end -= len(self.bytes_of[token])
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -189,21 +203,30 @@ class Transducer:
         state, closes, done = 0, [], []
         if len(self.states) > STATES * self.cache_mb or len(self.arcs) > ARCS * self.cache_mb:
             self.clear()
-        arcs = self.arcs
+        arcs, live = self.arcs, ()
         for byte in piece:
-            arc = arcs.get(state << 8 | byte)
-            if arc is None:
-                arc = self.step(state, byte)
-            state = arc >> 32
-            closes.append((arc & 0xFFFFFFFF) - 1)
+            # Below 0: the sets have no number.
+            if state < 0:
+                live, token = self.step(live, byte)
+            else:
+                arc = arcs.get(state << 8 | byte)
+                if arc is None:
+                    live, token = self.step(self.states[state], byte)
+                    arcs[state << 8 | byte] = self.number(live) << 32 | (token + 1)
+                    state = -1
+                else:
+                    state, token = arc >> 32, (arc & 0xFFFFFFFF) - 1
+            closes.append(token)
             if len(closes) == self.COMMIT:
-                paths = [self._back(closes, len(closes) - self.depth[packed & 0xFFFFFFFF]) for packed in self.states[state]]
+                live = self.states[state] if state >= 0 else live
+                paths = [self._back(closes, len(closes) - self.depth(node)) for node, _ in live]
                 n = 0
                 while all(len(p) > n for p in paths) and len({p[n] for p in paths}) == 1:
                     n += 1
                 agreed = paths[0][:n]
                 done += agreed
-                del closes[: sum(map(self.size.__getitem__, agreed))]
+                del closes[: sum(len(self.bytes_of[t]) for t in agreed)]
+                state = self.number(live)
         return done + self._back(closes, len(closes))
 
 
