@@ -1,5 +1,7 @@
 """Operators on hand-made tables, front ends, and the rescan stream."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import classify as C
@@ -73,6 +75,47 @@ def test_composition(spark):
     assert got == [(1, 2, "storage_bridge", 1, "critical"), (1, 3, "same_node", 0, "critical")]
 
 
+def plain_chains(rows):
+    """Plain reading of the composition rule, over rows of :func:`chain`."""
+    found, rank = {}, ["low", "medium", "high", "critical"]
+    write = lambda kind, sub: sub in findings.WRITES or kind in ("EGRESS", "STORAGE") and sub is not None and sub != "http_request"
+    name = lambda x: None if None in (x[1], x[3], x[4]) else f"{x[1]}:{x[3]}->{x[4]}"
+    for a in rows:
+        for b in rows:
+            meets = a[6] is not None and a[7] is not None and (a[6], a[7]) == (b[8], b[9])
+            same = not meets and a[1] is not None and a[4] is not None and (a[1], a[4]) == (b[1], b[3])
+            if a[0] == b[0] or not (meets and (write(a[12], a[13]) or write(b[14], b[15])) or same):
+                continue
+            kind = "same_node" if same else {"file": "file_bridge", "env": "env_bridge"}.get(a[6], "storage_bridge")
+            crossed = 0 if same else max(0, len({x for x in (*a[10:12], *b[10:12]) if x}) - 1)
+            both = [x for x in (name(a), name(b)) if x is not None]
+            pair = f"{min(both)}||{max(both)}" if both else ""
+            found.setdefault(pair, []).append((a[0], b[0], kind, crossed, rank[min(3, max(rank.index(a[5]), rank.index(b[5])) + 1)]))
+    return sorted(min(x) for x in found.values())
+
+
+def test_composition_against_all_pairs(spark):
+    schema = "ord int, file string, cwe string, source string, sink string, severity string, sink_kind string, sink_name string, source_kind string, source_name string, sink_boundary string, source_boundary string, sink_type string, sink_subtype string, source_type string, source_subtype string"
+    for seed, nodes in enumerate((["a", "b", "c", "d"], ["a", "b", None, "a|", "|a", "b||b"], [f"n{k}" for k in range(60)])):
+        r = random.Random(seed)
+        rows = [
+            chain(ord=k, file=r.choice(["f", "g"]), source=r.choice(nodes), sink=r.choice(nodes), severity=r.choice(["low", "medium", "high"]), sink_kind=r.choice(["table", "file", "env", None]), sink_name=r.choice("uv"),
+                  source_kind=r.choice(["table", "file", "env"]), source_name=r.choice(["u", "v", None]), sink_boundary=r.choice(["", "x", None]), source_boundary=r.choice(["x", "y"]), sink_type=r.choice(["STORAGE", "INGRESS"]),
+                  sink_subtype=r.choice(["env_read", "http_request", None]), source_subtype=r.choice(["db_read", "log_write"]))
+            for k in range(30)
+        ]
+        got = sorted(tuple(x) for x in findings.compose(spark.createDataFrame(rows, schema)).collect())
+        assert len(got) > 20 and got == plain_chains(rows)
+
+
+def test_composition_shuffles_no_pairs(spark):
+    rows = spark.range(2000).selectExpr("id AS ord", "'f' AS file", "'CWE-1' AS cwe", "'s' || id AS source", "'k' || id AS sink", "'low' AS severity", "'table' AS sink_kind", "'t' AS sink_name", "'table' AS source_kind", "'t' AS source_name",
+                                        "'' AS sink_boundary", "'' AS source_boundary", "'STORAGE' AS sink_type", "'db_write' AS sink_subtype", "'INGRESS' AS source_type", "'db_read' AS source_subtype")
+    found = findings.compose(rows)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 2000 * 1999 // 2
+
+
 def test_inventory_gives_rules(spark):
     lines = ["| CWE | Name | Sev | Shape | Ops | missing |", "| 5 | A | high | STORAGE→EGRESS | P I:EXTERNAL X | EXTERNAL (encrypted) | x |", "| 6 | B | low | INGRESS | P T:CONTROL | CONTROL | x |"]
     rows = rules.rules_from_inventory(spark, lines).collect()
