@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -136,3 +137,21 @@ def test_signature_agrees_as_often_as_sets_do():
             a, b = np.sort(rnd.permutation(h)[:n]), h
             share.append((signature(a) == signature(b)).mean())
         assert abs(np.mean(share) - 0.8) < 0.05
+
+
+def test_sets_of_many_texts_at_once(monkeypatch):
+    parts = [b"A", b"b", b"\xc3\x89", b" ", b" ", b"\t", b"\n", b"\x0b", b"\x1c", b"\xc2\xa0", b"\x00", b"\xff", b"longerthaneight", b"Z"]
+    r = random.Random(5)
+    texts = [None if r.random() < 0.1 else b"".join(r.choice(parts) for _ in range(r.choice([0, 1, 5, 60]))) for _ in range(300)]
+    names, values = {}, {}
+    for chunk in (1, 500, 1 << 20):
+        monkeypatch.setattr(neardup, "CHUNK", chunk)
+        got = list(neardup.shingle_sets(pa.array([b"x", *texts], pa.binary()).slice(1)))
+        assert len(got) == len(texts)
+        for text, h in zip(texts, got):
+            words = (text or b"").lower().split()
+            want = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+            assert len(h) == len(want) and sorted(set(h.tolist())) == h.tolist()
+            # One set of hashes for one set of shingles, and the other way round.
+            key = frozenset(want)
+            assert names.setdefault(key, h.tobytes()) == h.tobytes() and values.setdefault(h.tobytes(), key) == key
